@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, sharding, simhash
+from tessera.llm import bpe, exact_dedup, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """A public tokenizer file as installed on this machine; operators take the path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(_table(spark, sf_dir, "documents"))
 
@@ -44,5 +58,5 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_simhash_components": op2_simhash_components, "op4_exact_dedup": op4_exact_dedup, "op7_sharding": op7_sharding}
+QUERIES = {"op1_bpe_roundtrip": op1_bpe_roundtrip, "op2_simhash_components": op2_simhash_components, "op4_exact_dedup": op4_exact_dedup, "op7_sharding": op7_sharding}
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
