@@ -1,14 +1,16 @@
 """BPE encoding and decoding through a distinct-word table.
 
-1. Spark splits texts into words (leading white space plus what follows it). The white-space
-   class is listed character by character, so no engine's Unicode tables decide. Cutting
-   there never crosses a pre-token of a byte-level tokenizer: encoding the words one by one
-   and joining the ids gives the ids of the whole text.
-2. Texts are packed into chunks of about ``chunk_words`` words; a chunk holds its own distinct
-   words and, for each text, the positions in that list. A word that fills a third of the
-   corpus is one row per chunk, not one per occurrence.
-3. The chunks' words meet the corpus-wide distinct-word table, where each distinct word is
-   encoded once, and the ids go back to the chunks by position.
+1. Spark splits texts into words: leading white space and what follows it. Encoding the words
+   one by one and joining the ids gives the ids of the whole text, as no pre-token of a
+   byte-level tokenizer runs from a word into the white space behind it. The white-space class
+   is listed character by character, so no engine's Unicode tables decide.
+2. The texts of a task are packed into chunks of about ``chunk_words`` words. A chunk holds
+   each of its distinct words once, and every text as positions in that list: a word that
+   fills a third of the corpus is one entry per chunk, not one per occurrence.
+3. The distinct words are dealt by hash into buckets of the corpus-wide distinct-word table;
+   a bucket's task encodes each of its words once and sends the ids back to the chunks, which
+   put them in by position. Words and ids travel as compressed blocks, a block per chunk and
+   bucket.
 4. Decoding joins ids to the tokenizer's id-to-piece table. Its size is that of the
    vocabulary, whatever the corpus, so it is a map-side join.
 """
@@ -16,11 +18,15 @@
 from __future__ import annotations
 
 import os
+import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +35,9 @@ from tessera.llm._util import stored, text_or_empty
 
 #: Unicode White_Space, fixed values.
 SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-WORD = f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
+WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: A cut before each ASCII space is a word boundary unless white space stands beside it.
+_DOUBTFUL = f"\\x00|^ ?[{SPACE}]|[{SPACE}]$"
 
 
 @lru_cache(maxsize=2)
@@ -56,114 +64,173 @@ def pieces(path: str) -> pa.BinaryArray:
     return pa.array(out, pa.binary())
 
 
-def _pack(at: np.ndarray) -> bytes:
-    planes = at.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
+def _pack(x: np.ndarray) -> bytes:
+    """Byte planes of unsigned 32-bit numbers, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.uint32)
-    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * n, asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4")[:, 0]
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
-CHUNK = "chunk long, ids array<long>, counts array<long>, packed binary, words array<string>"
+def _pack_bytes(x: pa.Array) -> bytes:
+    """A binary array (offset 0, no nulls): lengths, then data."""
+    at = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+    lengths, data = _pack(np.diff(at)), zstandard.compress(bytes(memoryview(x.buffers()[2] or b"")[at[0] : at[-1]]), 3)
+    return len(lengths).to_bytes(4, "little") + lengths + data
 
 
-def _chunked(limit: int):
+def _unpack_bytes(data: bytes) -> pa.Array:
+    n = int.from_bytes(data[:4], "little")
+    lengths = _unpack(data[4 : 4 + n])
+    return _binary(np.concatenate([[0], np.cumsum(lengths)]), pa.py_buffer(zstandard.decompress(data[4 + n :])))
+
+
+def _binary(ends: np.ndarray, data: pa.Buffer) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), data])
+
+
+def _runs(x: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """Offsets and data of a binary or string array that begins at offset 0."""
+    if not len(x):
+        return np.zeros(1, np.int32), pa.py_buffer(b"")
+    return np.frombuffer(x.buffers()[1], np.int32)[: len(x) + 1], x.buffers()[2] or pa.py_buffer(b"")
+
+
+def _cut(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """Words of a batch and the number of words in each text."""
+    ends = b.column(1).offsets.to_numpy()
+    words, counts = b.column(1).values.slice(ends[0], ends[-1] - ends[0]), np.diff(ends)
+    coded = words.dictionary_encode()
+    doubtful = pc.match_substring_regex(coded.dictionary, _DOUBTFUL).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(doubtful[coded.indices.to_numpy(zero_copy_only=False)])
+    if len(at):
+        out, here = [], ends - ends[0]
+        rows = np.unique(np.searchsorted(here, at, side="right") - 1)
+        last = 0
+        for r in rows:
+            again = WORD.findall("".join(words.slice(here[r], counts[r]).to_pylist()))
+            out += [words.slice(last, here[r] - last), pa.array(again, pa.string())]
+            last, counts[r] = here[r + 1], len(again)
+        words = pa.concat_arrays([*out, words.slice(last)])
+    return words, counts
+
+
+CHUNK = "chunk long, ids array<long>, counts array<long>, packed binary, bucket_of binary, words array<binary>"
+
+
+def _chunk(number: int, held: list[tuple], buckets: int) -> pa.RecordBatch:
+    ids, words, counts = zip(*held, strict=True)
+    coded = pa.chunked_array(words, pa.string()).dictionary_encode().unify_dictionaries()
+    at = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
+    distinct = (coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())).cast(pa.binary())
+    bucket = np.fromiter((zlib.crc32(w) % buckets for w in distinct.to_pylist()), np.int64, len(distinct))
+    order = np.argsort(bucket, kind="stable")
+    sorted_words, bounds = distinct.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(buckets + 1))
+    blocks = [_pack_bytes(sorted_words.slice(a, b - a)) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    row = [number, pa.concat_arrays(ids).to_pylist(), np.concatenate(counts).astype(np.int64), _pack(at), _pack(bucket), blocks]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["chunk", "ids", "counts", "packed", "bucket_of", "words"])
+
+
+def _chunked(limit: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = TaskContext.get().partitionId() << 32
-        for b in batches:
-            words, ids = b.column(1), b.column(0)
-            ends = words.offsets.to_numpy()
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for whole in batches:
             at = 0
-            while at < b.num_rows:
-                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
-                part = words.values.slice(ends[at], ends[stop] - ends[at]).dictionary_encode()
-                row = [made, ids.slice(at, stop - at).to_pylist(), np.diff(ends[at : stop + 1]), _pack(part.indices.to_numpy(zero_copy_only=False)), part.dictionary]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row[0]], pa.int64()),
-                        pa.array([row[1]], pa.list_(pa.int64())),
-                        pa.array([row[2].astype(np.int64)], pa.list_(pa.int64())),
-                        pa.array([row[3]], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array([0, len(row[4])], pa.int32()), row[4].cast(pa.string())),
-                    ],
-                    ["chunk", "ids", "counts", "packed", "words"],
-                )
-                made, at = made + 1, stop
+            while at < whole.num_rows:
+                ends = whole.column(1).offsets.to_numpy()
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + limit - size, side="right")) - 1)
+                b = whole.slice(at, stop - at)
+                words, counts = _cut(b)
+                held.append((b.column(0), words, counts))
+                size, at = size + len(words), stop
+                if size >= limit or at < whole.num_rows:
+                    yield _chunk(number, held, buckets)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield _chunk(number, held, buckets)
 
     return run
 
 
 def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        t, table, now = tokenizer(path), {}, None
         for b in batches:
-            ids = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["word", "code"])
+            for chunk, bucket, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != now:
+                    table, now = {}, bucket
+                words = _unpack_bytes(block).to_pylist()
+                new = list({w: None for w in words if w not in table})
+                for w, e in zip(new, t.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+                    table[w] = np.array(e.ids, "<u4").tobytes()
+                codes = _pack_bytes(pa.array([table[w] for w in words], pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([codes], pa.binary())], ["chunk", "bucket", "codes"])
 
     return run
 
 
-def decode_array(ids: np.ndarray, ends: np.ndarray, path: str) -> pa.Array:
-    """Texts of a run of ids cut at ``ends`` (first 0); bytes that are no UTF-8 become U+FFFD."""
-    got = pieces(path).take(pa.array(ids))
-    at = np.frombuffer(got.buffers()[1], np.int32)[: len(got) + 1] if len(got) else np.zeros(1, np.int32)
-    raw = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at[ends].astype(np.int32)), got.buffers()[2] if len(got) else pa.py_buffer(b"")])
+def _rebuild(codes: pa.Table, chunk: pa.Table) -> pa.Table:
+    blocks = dict(zip(codes["bucket"].to_pylist(), codes["codes"].to_pylist(), strict=True))
+    table = pa.concat_arrays([_unpack_bytes(blocks[k]) for k in sorted(blocks)]) if blocks else pa.array([], pa.binary())
+    order = np.argsort(_unpack(chunk["bucket_of"][0].as_py()), kind="stable")
+    where = np.empty(len(order), np.int64)
+    where[order] = np.arange(len(order))
+    counts = chunk["counts"][0].values.to_numpy()
+    got = table.take(pa.array(where[_unpack(chunk["packed"][0].as_py())]))
+    ends, data = _runs(got)
+    ends = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+    return pa.Table.from_arrays([chunk["ids"][0].values, pa.array(np.diff(ends).astype(np.int64) // 4), _binary(ends, data)], ["doc_id", "n_tokens", "ids"])
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 4_000_000) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit, as
+    binary).
+
+    Ids are those of the byte-level tokenizer file at ``path`` with add_special_tokens off; a
+    special token written out in a text becomes its id. ``path`` must be readable on every
+    executor. A null text counts as empty and gives no ids. Repeated rows and null ids each
+    keep their row. A text is never cut: a chunk holds at least one. An empty table gives an
+    empty result; other columns are not read.
+    """
+    text, buckets = text_or_empty(text_col), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = F.when(F.contains(text, F.lit("\x00")), F.array(text)).otherwise(F.split(F.replace(text, F.lit(" "), F.lit("\x00 ")), "\x00"))
+    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
+    chunks = stored(split.mapInArrow(_chunked(chunk_words, buckets), CHUNK), "bpe-chunks")
+    coded = (
+        chunks.select("chunk", F.posexplode("words").alias("bucket", "block"))
+        .filter("block is not null")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_encoder(path), "chunk long, bucket int, codes binary")
+    )
+    texts = chunks.select(*[F.col(c).alias(c) for c in ("chunk", "ids", "counts", "packed", "bucket_of")])
+    return coded.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_rebuild, "doc_id long, n_tokens long, ids binary")
+
+
+def decode_array(codes: pa.Array, path: str) -> pa.Array:
+    """Texts of an array of packed ids; bytes that are no UTF-8 become U+FFFD."""
+    codes = pa.concat_arrays([codes.slice(0, 0), codes]) if codes.offset else codes
+    ends, data = _runs(codes)
+    at, text = _runs(pieces(path).take(pa.array(np.frombuffer(data, "<u4")[ends[0] // 4 : ends[-1] // 4])))
+    raw = _binary(at[(ends - ends[0]) // 4], text)
     try:
         return raw.cast(pa.string())
     except pa.ArrowInvalid:
         return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
 
-ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"
-
-
-def _rebuild(path: str):
-    def run(words: pa.Table, chunk: pa.Table) -> pa.Table:
-        order = np.argsort(words["pos"].to_numpy())
-        codes = words["code"].combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.binary())
-        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
-        counts = np.array(chunk["counts"][0].values)
-        at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        got = codes.take(pa.array(_unpack(chunk["packed"][0].as_py(), int(at[-1]))))
-        ends = np.frombuffer(got.buffers()[1], np.int32)[: len(got) + 1][at] if len(got) else np.zeros(len(at), np.int32)
-        data = got.buffers()[2] if len(got) and got.buffers()[2] else pa.py_buffer(b"")
-        ids = np.frombuffer(data, "<u4", count=int(ends[-1]) // 4)
-        cut = ends // 4
-        return pa.Table.from_arrays(
-            [
-                chunk["ids"].combine_chunks().values if chunk["ids"].num_chunks else pa.array([], pa.int64()),
-                pa.array(np.diff(cut).astype(np.int64)),
-                pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), data]),
-                decode_array(ids, cut, path),
-            ],
-            ["doc_id", "n_tokens", "ids", "decoded"],
-        )
-
-    return run
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``encoded`` (doc_id, n_tokens, ids) with the text of its ids as ``decoded``; null ids
+    count as none."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                codes = pa.concat_arrays([pc.fill_null(part.column(2), b"")])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), codes, decode_array(codes, path)], ["doc_id", "n_tokens", "ids", "decoded"])
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 1_000_000) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit, as
-    binary), decoded (the text of those ids).
-
-    Ids are those of the tokenizer file at ``path`` with add_special_tokens off; a special
-    token written out in a text becomes its id. ``path`` must be readable on every executor.
-    A null text counts as empty and gives no ids. Repeated rows and null ids each keep their
-    row. An empty table gives an empty result; other columns are not read.
-    """
-    words = F.regexp_extract_all(text_or_empty(text_col), F.lit(WORD), F.lit(0))
-    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
-    chunks = stored(split.mapInArrow(_chunked(chunk_words), CHUNK), "bpe-chunks")
-    placed = chunks.select("chunk", F.posexplode("words").alias("pos", "word")).repartition("word")
-    table = placed.select("word").distinct().mapInArrow(_encoder(path), "word string, code binary")
-    coded = placed.join(table.hint("merge"), "word").select("chunk", "pos", "code")
-    again = chunks.select(*[F.col(c).alias(c) for c in ("chunk", "ids", "counts", "packed")])
-    return (
-        coded.groupBy("chunk")
-        .cogroup(again.groupBy("chunk"))
-        .applyInArrow(_rebuild(path), ENCODED)
-    )
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

@@ -20,7 +20,8 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    path = _tokenizer("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
