@@ -10,7 +10,7 @@
 3. The distinct words are dealt by hash into buckets of the corpus-wide distinct-word table;
    a bucket's task encodes each of its words once and sends the ids back to the chunks, which
    put them in by position. Words and ids travel as compressed blocks, a block per chunk and
-   bucket.
+   bucket. Texts and words share one exchange: both of its readers reuse it.
 4. Decoding joins ids to the tokenizer's id-to-piece table. Its size is that of the
    vocabulary, whatever the corpus, so it is a map-side join.
 """
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._util import stored, text_or_empty
+from tessera.llm._util import text_or_empty
 
 #: Unicode White_Space, fixed values.
 SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -81,7 +81,8 @@ def _pack_bytes(x: pa.Array) -> bytes:
     return len(lengths).to_bytes(4, "little") + lengths + data
 
 
-def _unpack_bytes(data: bytes) -> pa.Array:
+def _unpack_bytes(data: pa.Buffer | bytes) -> pa.Array:
+    data = memoryview(data)
     n = int.from_bytes(data[:4], "little")
     lengths = _unpack(data[4 : 4 + n])
     return _binary(np.concatenate([[0], np.cumsum(lengths)]), pa.py_buffer(zstandard.decompress(data[4 + n :])))
@@ -98,40 +99,49 @@ def _runs(x: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
     return np.frombuffer(x.buffers()[1], np.int32)[: len(x) + 1], x.buffers()[2] or pa.py_buffer(b"")
 
 
-def _cut(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+def _cut(b: pa.RecordBatch) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Words of a batch and the number of words in each text."""
     ends = b.column(1).offsets.to_numpy()
     words, counts = b.column(1).values.slice(ends[0], ends[-1] - ends[0]), np.diff(ends)
     coded = words.dictionary_encode()
     doubtful = pc.match_substring_regex(coded.dictionary, _DOUBTFUL).to_numpy(zero_copy_only=False)
     at = np.flatnonzero(doubtful[coded.indices.to_numpy(zero_copy_only=False)])
-    if len(at):
-        out, here = [], ends - ends[0]
-        rows = np.unique(np.searchsorted(here, at, side="right") - 1)
-        last = 0
-        for r in rows:
-            again = WORD.findall("".join(words.slice(here[r], counts[r]).to_pylist()))
-            out += [words.slice(last, here[r] - last), pa.array(again, pa.string())]
-            last, counts[r] = here[r + 1], len(again)
-        words = pa.concat_arrays([*out, words.slice(last)])
-    return words, counts
+    if not len(at):
+        return coded, counts
+    out, here, last = [], ends - ends[0], 0
+    for r in np.unique(np.searchsorted(here, at, side="right") - 1):
+        again = WORD.findall("".join(words.slice(here[r], counts[r]).to_pylist()))
+        out += [words.slice(last, here[r] - last), pa.array(again, pa.string())]
+        last, counts[r] = here[r + 1], len(again)
+    return pa.concat_arrays([*out, words.slice(last)]).dictionary_encode(), counts
 
 
-CHUNK = "chunk long, ids array<long>, counts array<long>, packed binary, bucket_of binary, words array<binary>"
+#: Texts of a chunk go to ``part`` = its number, its words of a bucket to ``part`` = -1 - bucket.
+PARTS = "part long, chunk long, ids array<long>, counts array<long>, packed binary, bucket_of binary, words binary"
+_KINDS = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
 
 
-def _chunk(number: int, held: list[tuple], buckets: int) -> pa.RecordBatch:
+def _parts(number: int, held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     ids, words, counts = zip(*held, strict=True)
-    coded = pa.chunked_array(words, pa.string()).dictionary_encode().unify_dictionaries()
+    coded = pa.chunked_array(words).unify_dictionaries()
     at = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
-    distinct = (coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())).cast(pa.binary())
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in distinct.to_pylist()), np.int64, len(distinct))
+    distinct = coded.chunk(0).dictionary.cast(pa.binary())
+    often = np.argsort(-np.bincount(at, minlength=len(distinct)), kind="stable")
+    rank = np.empty(len(often), np.int64)
+    rank[often] = np.arange(len(often))
+    distinct = distinct.take(pa.array(often))
+    bucket = np.fromiter(map(zlib.crc32, distinct.to_pylist()), np.int64, len(distinct)) % buckets
     order = np.argsort(bucket, kind="stable")
-    sorted_words, bounds = distinct.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(buckets + 1))
-    blocks = [_pack_bytes(sorted_words.slice(a, b - a)) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    row = [number, pa.concat_arrays(ids).to_pylist(), np.concatenate(counts).astype(np.int64), _pack(at), _pack(bucket), blocks]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["chunk", "ids", "counts", "packed", "bucket_of", "words"])
+    in_buckets, bounds = distinct.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, _KINDS, strict=True)], ["part", "chunk", "ids", "counts", "packed", "bucket_of", "words"])
+
+    yield row(number, number, pa.concat_arrays(ids).to_pylist(), np.concatenate(counts).astype(np.int64), _pack(rank[at]), _pack(bucket), None)
+    for k in range(buckets):
+        if bounds[k + 1] > bounds[k]:
+            block = _pack_bytes(in_buckets.slice(bounds[k], bounds[k + 1] - bounds[k]))
+            yield row(-1 - k, number, None, None, None, None, block)
 
 
 def _chunked(limit: int, buckets: int):
@@ -144,37 +154,58 @@ def _chunked(limit: int, buckets: int):
                 stop = max(at + 1, int(np.searchsorted(ends, ends[at] + limit - size, side="right")) - 1)
                 b = whole.slice(at, stop - at)
                 words, counts = _cut(b)
-                held.append((b.column(0), words, counts))
+                held.append((pa.concat_arrays([b.column(0)]), words, counts))
                 size, at = size + len(words), stop
                 if size >= limit or at < whole.num_rows:
-                    yield _chunk(number, held, buckets)
+                    yield from _parts(number, held, buckets)
                     number, held, size = number + 1, [], 0
+            whole = b = None
         if held:
-            yield _chunk(number, held, buckets)
+            yield from _parts(number, held, buckets)
 
     return run
 
 
+def _pack_codes(codes: list[bytes]) -> bytes:
+    """Ids per word, then all ids."""
+    return _pack_two(np.fromiter(map(len, codes), np.int64, len(codes)) // 4, np.frombuffer(b"".join(codes), "<u4"))
+
+
+def _pack_two(a: np.ndarray, b: np.ndarray) -> bytes:
+    x = _pack(a)
+    return len(x).to_bytes(4, "little") + x + _pack(b)
+
+
+def _unpack_codes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    return _unpack(data[4 : 4 + n]), _unpack(data[4 + n :])
+
+
 def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, table, now = tokenizer(path), {}, None
         for b in batches:
-            for chunk, bucket, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if bucket != now:
-                    table, now = {}, bucket
-                words = _unpack_bytes(block).to_pylist()
-                new = list({w: None for w in words if w not in table})
-                for w, e in zip(new, t.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            for part, chunk, block in zip(b.column("part").to_pylist(), b.column("chunk").to_pylist(), b.column("words"), strict=True):
+                if part >= 0:
+                    continue
+                if part != now:
+                    table, now = {}, part
+                words = _unpack_bytes(block.as_buffer()).cast(pa.string()).to_pylist()
+                new = [w for w in words if w not in table]
+                for w, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True):
                     table[w] = np.array(e.ids, "<u4").tobytes()
-                codes = _pack_bytes(pa.array([table[w] for w in words], pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([codes], pa.binary())], ["chunk", "bucket", "codes"])
+                codes = _pack_codes([table[w] for w in words])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([-1 - part], pa.int32()), pa.array([codes], pa.binary())], ["chunk", "bucket", "codes"])
 
     return run
 
 
 def _rebuild(codes: pa.Table, chunk: pa.Table) -> pa.Table:
+    if not chunk.num_rows or chunk["part"][0].as_py() < 0:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
     blocks = dict(zip(codes["bucket"].to_pylist(), codes["codes"].to_pylist(), strict=True))
-    table = pa.concat_arrays([_unpack_bytes(blocks[k]) for k in sorted(blocks)]) if blocks else pa.array([], pa.binary())
+    sizes, values = zip(*[_unpack_codes(blocks[k]) for k in sorted(blocks)], strict=True) if blocks else ([np.zeros(0, int)], [np.zeros(0, "<u4")])
+    table = _binary(np.concatenate([[0], 4 * np.cumsum(np.concatenate(sizes).astype(np.int64))]), pa.py_buffer(np.concatenate(values)))
     order = np.argsort(_unpack(chunk["bucket_of"][0].as_py()), kind="stable")
     where = np.empty(len(order), np.int64)
     where[order] = np.arange(len(order))
@@ -185,29 +216,23 @@ def _rebuild(codes: pa.Table, chunk: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([chunk["ids"][0].values, pa.array(np.diff(ends).astype(np.int64) // 4), _binary(ends, data)], ["doc_id", "n_tokens", "ids"])
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 3_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit, as
     binary).
 
     Ids are those of the byte-level tokenizer file at ``path`` with add_special_tokens off; a
     special token written out in a text becomes its id. ``path`` must be readable on every
     executor. A null text counts as empty and gives no ids. Repeated rows and null ids each
-    keep their row. A text is never cut: a chunk holds at least one. An empty table gives an
+    keep their row. A text is never cut: a chunk holds at least one. ``docs`` must be a scan of
+    files or of a checkpoint, so that a task that runs again makes the same chunks. An empty table gives an
     empty result; other columns are not read.
     """
     text, buckets = text_or_empty(text_col), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = F.when(F.contains(text, F.lit("\x00")), F.array(text)).otherwise(F.split(F.replace(text, F.lit(" "), F.lit("\x00 ")), "\x00"))
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
-    chunks = stored(split.mapInArrow(_chunked(chunk_words, buckets), CHUNK), "bpe-chunks")
-    coded = (
-        chunks.select("chunk", F.posexplode("words").alias("bucket", "block"))
-        .filter("block is not null")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_encoder(path), "chunk long, bucket int, codes binary")
-    )
-    texts = chunks.select(*[F.col(c).alias(c) for c in ("chunk", "ids", "counts", "packed", "bucket_of")])
-    return coded.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_rebuild, "doc_id long, n_tokens long, ids binary")
+    parts = split.mapInArrow(_chunked(chunk_words, buckets), PARTS).repartition("part")
+    coded = parts.sortWithinPartitions("part").mapInArrow(_encoder(path), "chunk long, bucket int, codes binary")
+    return coded.groupBy("chunk").cogroup(parts.groupBy("part")).applyInArrow(_rebuild, "doc_id long, n_tokens long, ids binary")
 
 
 def decode_array(codes: pa.Array, path: str) -> pa.Array:
