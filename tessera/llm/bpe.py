@@ -37,7 +37,7 @@ from tessera.llm._util import text_or_empty
 SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: A cut before each ASCII space is a word boundary unless white space stands beside it.
-_DOUBTFUL = f"\\x00|^ ?[{SPACE}]|[{SPACE}]$"
+_DOUBTFUL = f"\\x00|^[{SPACE}][{SPACE}]|[{SPACE}]$"
 
 
 @lru_cache(maxsize=2)
@@ -160,6 +160,7 @@ def _chunked(limit: int, buckets: int):
                     yield from _parts(number, held, buckets)
                     number, held, size = number + 1, [], 0
             whole = b = None
+            pa.default_memory_pool().release_unused()
         if held:
             yield from _parts(number, held, buckets)
 
@@ -216,7 +217,7 @@ def _rebuild(codes: pa.Table, chunk: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([chunk["ids"][0].values, pa.array(np.diff(ends).astype(np.int64) // 4), _binary(ends, data)], ["doc_id", "n_tokens", "ids"])
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 3_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 1_500_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit, as
     binary).
 

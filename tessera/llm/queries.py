@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, sharding, simhash
+from tessera.llm import bpe, exact_dedup, labelled, quality, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +59,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe_roundtrip": op1_bpe_roundtrip, "op2_simhash_components": op2_simhash_components, "op4_exact_dedup": op4_exact_dedup, "op7_sharding": op7_sharding}
+def _judged(docs: DataFrame, score, held_out) -> DataFrame:
+    rows = docs.select("doc_id", held_out.alias("held_out"), score.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), labelled.fold("doc_id", 5) == 0
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return _judged(docs, toxicity.toxicity(F.col("text"), model), held_out)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), labelled.fold("doc_id", 3) == 1
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return _judged(docs, quality.quality(F.col("text"), model), held_out)
+
+
+QUERIES = {"op6_toxicity": op6_toxicity, "op10_quality": op10_quality, "op1_bpe_roundtrip": op1_bpe_roundtrip, "op2_simhash_components": op2_simhash_components, "op4_exact_dedup": op4_exact_dedup, "op7_sharding": op7_sharding}
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
