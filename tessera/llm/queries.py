@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, labelled, quality, sharding, simhash, toxicity
+from tessera.llm import bpe, exact_dedup, labelled, quality, secrets, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +70,25 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(docs, toxicity.toxicity(F.col("text"), model), held_out)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found, spans = secrets.scan(docs, secrets.fit(docs)), F.col("spans")
+
+    def n(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter(spans, lambda s: s["kind"] != "markov")
+    return found.select(
+        "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"), n("markov").alias("n_markov"),
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = _table(spark, sf_dir, "documents"), labelled.fold("doc_id", 3) == 1
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
     return _judged(docs, quality.quality(F.col("text"), model), held_out)
 
 
-QUERIES = {"op6_toxicity": op6_toxicity, "op10_quality": op10_quality, "op1_bpe_roundtrip": op1_bpe_roundtrip, "op2_simhash_components": op2_simhash_components, "op4_exact_dedup": op4_exact_dedup, "op7_sharding": op7_sharding}
+QUERIES = {"op8_secret_scan": op8_secret_scan, "op6_toxicity": op6_toxicity, "op10_quality": op10_quality, "op1_bpe_roundtrip": op1_bpe_roundtrip, "op2_simhash_components": op2_simhash_components, "op4_exact_dedup": op4_exact_dedup, "op7_sharding": op7_sharding}
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
