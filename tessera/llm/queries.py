@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, labelled, quality, secrets, sharding, simhash, toxicity
+from tessera.llm import bpe, exact_dedup, labelled, quality, secrets, sharding, simhash, token_store, toxicity
+from tessera.llm._util import work_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,11 +85,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "token-store")
+    token_store.write_store(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), path)
+    return token_store.read_checksums(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = _table(spark, sf_dir, "documents"), labelled.fold("doc_id", 3) == 1
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
     return _judged(docs, quality.quality(F.col("text"), model), held_out)
 
 
-QUERIES = {"op8_secret_scan": op8_secret_scan, "op6_toxicity": op6_toxicity, "op10_quality": op10_quality, "op1_bpe_roundtrip": op1_bpe_roundtrip, "op2_simhash_components": op2_simhash_components, "op4_exact_dedup": op4_exact_dedup, "op7_sharding": op7_sharding}
+QUERIES = {"op9_token_store": op9_token_store, "op8_secret_scan": op8_secret_scan, "op6_toxicity": op6_toxicity, "op10_quality": op10_quality, "op1_bpe_roundtrip": op1_bpe_roundtrip, "op2_simhash_components": op2_simhash_components, "op4_exact_dedup": op4_exact_dedup, "op7_sharding": op7_sharding}
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
