@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,7 +39,7 @@ END = 2
 LEAST, MOST, MASK = 256, 8192, np.uint64((1 << 10) - 1)
 _GEAR = np.random.default_rng(1).integers(0, 2**63, 1 << 16, dtype=np.int64).astype(np.uint64)
 #: Words kept by a worker before it starts afresh.
-_KEPT = 400_000
+_KEPT = 350_000
 _kept: dict[str, bytes] = {}
 
 
@@ -65,6 +66,37 @@ def _cut_words(text: pa.Array) -> pa.Array:
     return pc.split_pattern(pc.replace_substring_regex(plain, r"([a-z])([.,])", r"\1 \2"), " ")
 
 
+#: Words of these letters alone are one pre-token, whose last id, and no other, ends a word.
+_PLAIN = re.compile("[a-zà-öø-ÿ]+")
+
+
+@lru_cache(maxsize=2)
+def _word_ends(path: str) -> np.ndarray:
+    out = np.zeros(1 << 16, bool)
+    out[[i for piece, i in tokenizer(path).get_vocab().items() if piece.endswith("</w>")]] = True
+    return out
+
+
+def _learn(words: list[str], path: str) -> None:
+    """Encode words that are not kept yet; plain ones many at a time, as one text."""
+    t, ends, alone = tokenizer(path), _word_ends(path), [w for w in words if not _PLAIN.fullmatch(w)]
+    plain = [w for w in words if _PLAIN.fullmatch(w)]
+    for k in range(0, len(plain), 8192):
+        part = plain[k : k + 8192]
+        ids = np.array(t.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
+        stops = 2 * (np.flatnonzero(ends[ids]) + 1)
+        if len(stops) != len(part):
+            alone += part
+            continue
+        raw, at = ids.tobytes(), 0
+        for w, stop in zip(part, stops.tolist(), strict=True):
+            _kept[w], at = raw[at:stop], stop
+    for k in range(0, len(alone), 1024):
+        part = alone[k : k + 1024]
+        for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            _kept[w] = np.array(e.ids, "<u2").tobytes()
+
+
 def encode_array(text: pa.Array, path: str, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
     """Ids (unsigned 16-bit) of all texts in a row, and each text's bounds."""
     lists = _cut_words(text)
@@ -73,9 +105,7 @@ def encode_array(text: pa.Array, path: str, end: int | None = END) -> tuple[np.n
     words = coded.dictionary.to_pylist()
     if len(_kept) > _KEPT:
         _kept.clear()
-    new = [w for w in words if w not in _kept]
-    for w, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False), strict=True):
-        _kept[w] = np.array(e.ids, "<u2").tobytes()
+    _learn([w for w in words if w not in _kept], path)
     codes = [_kept[w] for w in words]
     at, ends = coded.indices.to_numpy(zero_copy_only=False), ends - ends[0]
     if end is not None:
@@ -128,7 +158,7 @@ def _packer(path: str):
                     names.append(name)
                     sizes.append([len(p) // 2 for p in parts])
                     blobs.append([None if n in seen or seen.add(n) else zstandard.compress(p, 3) for n, p in zip(name, parts, strict=True)])
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(np.diff(bounds)), pa.array(names, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int64())), pa.array(blobs, pa.list_(pa.binary()))],
