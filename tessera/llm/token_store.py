@@ -39,7 +39,7 @@ END = 2
 LEAST, MOST, MASK = 256, 8192, np.uint64((1 << 10) - 1)
 _GEAR = np.random.default_rng(1).integers(0, 2**63, 1 << 16, dtype=np.int64).astype(np.uint64)
 #: Words kept by a worker before it starts afresh.
-_KEPT = 350_000
+_KEPT = 500_000
 _kept: dict[str, bytes] = {}
 
 
@@ -79,8 +79,10 @@ def _word_ends(path: str) -> np.ndarray:
 
 def _learn(words: list[str], path: str) -> None:
     """Encode words that are not kept yet; plain ones many at a time, as one text."""
-    t, ends, alone = tokenizer(path), _word_ends(path), [w for w in words if not _PLAIN.fullmatch(w)]
-    plain = [w for w in words if _PLAIN.fullmatch(w)]
+    t, ends = tokenizer(path), _word_ends(path)
+    plain, alone = [], []
+    for w in words:
+        (plain if _PLAIN.fullmatch(w) else alone).append(w)
     for k in range(0, len(plain), 8192):
         part = plain[k : k + 8192]
         ids = np.array(t.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
@@ -147,8 +149,8 @@ def _packer(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 4000):
+                b = whole.slice(at, 4000)
                 ids, bounds = encode_array(b.column(1), path)
                 allowed, names, blobs, sizes = cuts(ids), [], [], []
                 for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
