@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, labelled, quality, secrets, sharding, simhash, token_store, toxicity
+from tessera.llm import bpe, decontaminate, exact_dedup, labelled, quality, secrets, sharding, simhash, token_store, toxicity
 from tessera.llm._util import work_dir
 
 
@@ -60,6 +60,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return decontaminate.contaminated(docs, decontaminate.searchers(docs, _table(spark, sf_dir, "benchmark")))
+
+
 def _judged(docs: DataFrame, score, held_out) -> DataFrame:
     rows = docs.select("doc_id", held_out.alias("held_out"), score.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -97,5 +102,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(docs, quality.quality(F.col("text"), model), held_out)
 
 
-QUERIES = {"op9_token_store": op9_token_store, "op8_secret_scan": op8_secret_scan, "op6_toxicity": op6_toxicity, "op10_quality": op10_quality, "op1_bpe_roundtrip": op1_bpe_roundtrip, "op2_simhash_components": op2_simhash_components, "op4_exact_dedup": op4_exact_dedup, "op7_sharding": op7_sharding}
+QUERIES = {"op5_decontamination": op5_decontamination, "op9_token_store": op9_token_store, "op8_secret_scan": op8_secret_scan, "op6_toxicity": op6_toxicity, "op10_quality": op10_quality, "op1_bpe_roundtrip": op1_bpe_roundtrip, "op2_simhash_components": op2_simhash_components, "op4_exact_dedup": op4_exact_dedup, "op7_sharding": op7_sharding}
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
