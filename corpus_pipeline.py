@@ -1,21 +1,63 @@
-"""Cleaning pipeline over ``documents``: each stage's result is written as Parquet and read
-again as the next stage's input."""
+"""Cleaning and encoding of ``documents`` in five stages.
+
+Each stage's result is written as Parquet and read again as the next stage's input. All but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, decontaminate, exact_dedup, labelled, simhash, toxicity
+from tessera.llm._util import free_name, stored
+
+#: Stages 1 to 4 need the documents' columns doc_id and text; others may be there or not.
+TOKENIZER = "byte_bpe_50k.json"
 
-from tessera.llm import exact_dedup
-from tessera.llm._util import stored
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity of 0.5 or more go. The model learns from all labels; documents
+    with null text score like empty ones."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    score = free_name(docs, "_toxicity")
+    return docs.withColumn(score, toxicity.toxicity(F.col("text"), model)).filter(F.col(score) < 0.5).drop(score)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays, chosen as in ``exact_groups``."""
+    """One document of each group of equal texts stays, chosen as in ``exact_groups``."""
     return exact_dedup.drop_exact(docs)
 
 
-STAGES = [("exact dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five words, similarity 0.8 or more."""
+    return simhash.drop_near(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or paraphrased, go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.drop_contaminated(docs, decontaminate.searchers(docs, benchmark))
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the text decoded from them."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(TOKENIZER)
+    return bpe.decode(bpe.encode(docs, path), path)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("decontamination", benchmark_stage),
+    ("bpe", bpe_stage),
+]
 
+#: No stage after the second can be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

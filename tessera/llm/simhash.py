@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._util import stored
+from tessera.llm._util import free_name, stored
 from tessera.llm.components import components
 
 #: Hashes held before their bits are counted.
@@ -116,20 +116,22 @@ def fingerprints(docs: DataFrame, id_col: Column, text_col: str = "text", shingl
 
 
 def pigeonhole_keys(fp: Column, bits: int = 64, blocks: int = 5, distance: int = 3) -> Column:
-    """Keys of a 64-bit fingerprint: all choices of ``blocks - distance`` of its blocks."""
+    """Keys of a 64-bit fingerprint: all choices of ``blocks - distance`` of its blocks, hashed
+    with the number of the choice (a clash of hashes only adds a candidate)."""
     edges = [bits * i // blocks for i in range(blocks + 1)]
     masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
     chosen = [sum(masks[i] for i in c) for c in combinations(range(blocks), blocks - distance)]
     signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
-    return F.array(*[F.struct(F.lit(k).alias("table"), fp.bitwiseAND(F.lit(m).cast("long")).alias("value")) for k, m in enumerate(signed)])
+    return F.array(*[F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)])
 
 
 def sampled_keys(fp: np.ndarray, tables: int, bits: int, seed: int = 20240229) -> np.ndarray:
-    """(rows, tables): for each table ``bits`` fixed, randomly drawn bits of the fingerprint."""
+    """(rows, tables): for each table ``bits`` fixed, randomly drawn bits of the fingerprint,
+    below the table's number."""
     rng, width = np.random.default_rng(seed), fp.shape[1] * 64
     flat = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
     weights = np.left_shift(np.int64(1), np.arange(bits, dtype=np.int64))
-    return np.stack([flat[:, rng.choice(width, bits, replace=False)].astype(np.int64) @ weights for _ in range(tables)], axis=1)
+    return np.stack([(flat[:, rng.choice(width, bits, replace=False)].astype(np.int64) @ weights) + (t << bits) for t in range(tables)], axis=1)
 
 
 def forest(ids: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -152,8 +154,8 @@ def _forests(distance: int, words: int):
         held: list[tuple] = []
 
         def made(parts: list[tuple], last: bool) -> tuple[list[tuple[int, int]], list[tuple]]:
-            table, value, tile, ids, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
-            new = np.flatnonzero((table[1:] != table[:-1]) | (value[1:] != value[:-1]) | (tile[1:] != tile[:-1])) + 1
+            key, tile, ids, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
+            new = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
             bounds = np.concatenate([[0], new, [len(ids)]])
             stop, links = len(bounds) - 1 if last else len(bounds) - 2, []
             size = np.diff(bounds[: stop + 1])
@@ -164,18 +166,18 @@ def _forests(distance: int, words: int):
                 at = slice(bounds[k], bounds[k + 1])
                 links += forest(ids[at], fps[at], distance)
             at = bounds[stop]
-            return links, [] if last else [(table[at:], value[at:], tile[at:], ids[at:], fps[at:])]
+            return links, [] if last else [(key[at:], tile[at:], ids[at:], fps[at:])]
 
         for b in batches:
             if not b.num_rows:
                 continue
-            table, value, tile, ids = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            key, tile, ids = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             if words == 1:
-                fps = b.column(4).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+                fps = b.column(3).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
             else:
-                fps = np.frombuffer(b"".join(b.column(4).to_pylist()), dtype="<u8").reshape(-1, words)
-            held.append((table, value, tile, ids, fps))
-            if (table[0], value[0], tile[0]) != (table[-1], value[-1], tile[-1]):
+                fps = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype="<u8").reshape(-1, words)
+            held.append((key, tile, ids, fps))
+            if (held[0][0][0], held[0][1][0]) != (key[-1], tile[-1]):
                 links, held = made(held, False)
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
@@ -188,14 +190,14 @@ def _forests(distance: int, words: int):
 
 
 def links(keyed: DataFrame, fps: DataFrame | None, distance: int, words: int = 1, cap: int = 50_000) -> DataFrame:
-    """Rows (table, value, id[, fp]) of distinct fingerprints -> links (a, b) of ids that
+    """Rows (key, id[, fp]) of distinct fingerprints -> links (a, b) of ids that
     connect whatever links within ``distance`` over rows with a common key connect.
 
     ``fps`` (id, fp) is joined only to rows that share a key, where ``keyed`` has no fp.
     """
-    dealt = keyed.repartition("table", "value")
-    shared = dealt.groupBy("table", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = dealt.join(shared.hint("merge"), ["table", "value"])
+    dealt = keyed.repartition("key")
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = dealt.join(shared.hint("merge"), "key")
     parts = F.ceil(F.col("n") / F.lit(cap)).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * F.lit(65536) + F.greatest(own, j))
@@ -203,9 +205,9 @@ def links(keyed: DataFrame, fps: DataFrame | None, distance: int, words: int = 1
     if fps is not None:
         rows = rows.join(fps.hint("merge"), "id")
     return (
-        rows.select("table", "value", "tile", "id", "fp")
-        .repartition("table", "value", "tile")
-        .sortWithinPartitions("table", "value", "tile", "id")
+        rows.select("key", "tile", "id", "fp")
+        .repartition("key", "tile")
+        .sortWithinPartitions("key", "tile", "id")
         .mapInArrow(_forests(distance, words), "a long, b long")
     )
 
@@ -226,8 +228,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     distinct = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     keyed = distinct.select(
-        F.explode(pigeonhole_keys(F.col("fp"), distance=distance, blocks=distance + 2)).alias("k"), F.col("fp").alias("id")
-    ).select("k.table", "k.value", "id", F.col("id").alias("fp"))
+        F.explode(pigeonhole_keys(F.col("fp"), distance=distance, blocks=distance + 2)).alias("key"), F.col("fp").alias("id")
+    ).select("key", "id", F.col("id").alias("fp"))
     comp = components(links(keyed, None, distance, cap=cap))
     named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = stored(named, "simhash-components")
@@ -235,3 +237,44 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_fp = named.join(least, "component").select("fp", "component_id")
     return fp.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
+
+
+#: Near-duplicate removal: words of a fingerprint, tables and bits of its keys.
+WIDE, TABLES, KEY_BITS = 16, 128, 24
+
+
+def most_differing(similarity: float, bits: int) -> int:
+    """Expected differing bits at a Jaccard similarity of the shingle sets, plus a third of the
+    deviation: the cosine of two equally large sets is 2J / (1 + J)."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + np.sqrt(bits * p * (1 - p)) / 3)
+
+
+def drop_near(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cap: int = 20_000) -> DataFrame:
+    """``docs`` with one row of each group of near copies, the first in file order; all columns
+    stay.
+
+    64 bits and blocks of exact keys cannot reach a similarity of 0.8 (some 10 bits differ), so
+    fingerprints here have 1024 bits, and keys are 128 draws of 24 bits: a pair of similarity
+    0.8 shares a key with probability 0.92, one of 0.85 with 0.99, one of 0.9 nearly always.
+    Links are settled by Hamming distance over all bits, and groups are connected components.
+    A null text counts as empty; texts without words are one group. ``docs`` must be a scan of
+    files or of a checkpoint.
+    """
+    rid, words = free_name(docs, "_rid"), WIDE
+    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
+    fp = stored(fingerprints(numbered, F.col(rid), text_col, shingle, words).groupBy("fp").agg(F.min("id").alias("id")), "near-fingerprints")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                wide = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, words)
+                keys = sampled_keys(wide, TABLES, KEY_BITS)
+                ids = np.repeat(part.column(0).to_numpy(), TABLES)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(ids)], ["key", "id"])
+
+    keyed = fp.select("id", "fp").mapInArrow(run, "key long, id long")
+    comp = components(links(keyed, fp, most_differing(similarity, 64 * words), words, cap))
+    kept = fp.select("id").join(comp.filter("node <> component").select(F.col("node").alias("id")), "id", "left_anti")
+    return numbered.join(kept.withColumnRenamed("id", rid), rid, "left_semi").drop(rid)
