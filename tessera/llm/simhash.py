@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._util import free_name, stored
+from tessera.llm._util import free_name, rows_per_batch, stored
 from tessera.llm.components import components
 
 #: Hashes held before their bits are counted.
@@ -111,6 +111,7 @@ def fingerprints(docs: DataFrame, id_col: Column, text_col: str = "text", shingl
                     packed = pa.FixedSizeBinaryArray.from_buffers(wide, len(fp), [None, pa.py_buffer(np.ascontiguousarray(fp))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), packed], ["id", "fp"])
 
+    rows_per_batch(docs.sparkSession, 2048)
     kind = "long" if words == 1 else "binary"
     return docs.select(id_col.cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id long, fp {kind}")
 

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.labelled import by_text, labels_of, sample, scored, sigmoid, texts_of, words_of
+from tessera.llm._util import rows_per_batch
+from tessera.llm.labelled import SLICE, by_text, labels_of, sample, scored, sigmoid, texts_of, words_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -137,6 +138,7 @@ def fit(
     left out, null texts count as empty. Without positive labels or documents every score is
     0 (the model's bias).
     """
+    rows_per_batch(docs.sparkSession, SLICE)
     known = labels_of(labels, label, usable, id_col)
     share = known.agg(F.avg("y")).first()[0]
     if not share:
