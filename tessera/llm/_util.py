@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,12 @@ def free_name(df: DataFrame, stem: str) -> str:
 def rows_per_batch(spark: SparkSession, n: int) -> None:
     """Ask for Arrow batches of at most ``n`` rows for the plans built from now on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+
+def give_back() -> None:
+    """Return a Python worker's free memory to the system: workers outlive their tasks, and an
+    executor's memory limit counts what they keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -21,7 +21,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._util import text_or_empty
+from tessera.llm._util import give_back, text_or_empty
 
 #: Unicode White_Space, fixed values.
 SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -40,7 +39,6 @@ WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _DOUBTFUL = f"\\x00|^[{SPACE}][{SPACE}]|[{SPACE}]$"
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -51,9 +49,8 @@ def tokenizer(path: str):
     return t
 
 
-@lru_cache(maxsize=2)
 def pieces(path: str) -> pa.BinaryArray:
-    """The bytes of each id of a byte-level tokenizer; ids without a piece are empty."""
+    """The id-to-piece table of a byte-level tokenizer: bytes of each id, or none."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in plain]
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -160,7 +157,7 @@ def _chunked(limit: int, buckets: int):
                     yield from _parts(number, held, buckets)
                     number, held, size = number + 1, [], 0
             whole = b = None
-            pa.default_memory_pool().release_unused()
+            give_back()
         if held:
             yield from _parts(number, held, buckets)
 
@@ -197,6 +194,8 @@ def _encoder(path: str):
                     table[w] = np.array(e.ids, "<u4").tobytes()
                 codes = _pack_codes([table[w] for w in words])
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([-1 - part], pa.int32()), pa.array([codes], pa.binary())], ["chunk", "bucket", "codes"])
+        t = table = None
+        give_back()
 
     return run
 
@@ -236,11 +235,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return coded.groupBy("chunk").cogroup(parts.groupBy("part")).applyInArrow(_rebuild, "doc_id long, n_tokens long, ids binary")
 
 
-def decode_array(codes: pa.Array, path: str) -> pa.Array:
+def decode_array(codes: pa.Array, table: pa.BinaryArray) -> pa.Array:
     """Texts of an array of packed ids; bytes that are no UTF-8 become U+FFFD."""
     codes = pa.concat_arrays([codes.slice(0, 0), codes]) if codes.offset else codes
     ends, data = _runs(codes)
-    at, text = _runs(pieces(path).take(pa.array(np.frombuffer(data, "<u4")[ends[0] // 4 : ends[-1] // 4])))
+    at, text = _runs(table.take(pa.array(np.frombuffer(data, "<u4")[ends[0] // 4 : ends[-1] // 4])))
     raw = _binary(at[(ends - ends[0]) // 4], text)
     try:
         return raw.cast(pa.string())
@@ -253,10 +252,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces(path)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 codes = pa.concat_arrays([pc.fill_null(part.column(2), b"")])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), codes, decode_array(codes, path)], ["doc_id", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), codes, decode_array(codes, table)], ["doc_id", "n_tokens", "ids", "decoded"])
+        table = None
+        give_back()
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

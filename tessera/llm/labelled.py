@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._util import give_back
+
 #: Rows scored together in a worker.
 SLICE = 2000
 
@@ -51,6 +53,7 @@ def scored(text: Column, score: Callable[[pa.Array], np.ndarray]) -> Column:
         for b in batches:
             parts = [score(b.slice(at, SLICE)) for at in range(0, len(b), SLICE)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+            give_back()
 
     return run(F.coalesce(text.cast("string"), F.lit("")))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._util import free_name, rows_per_batch, stored
+from tessera.llm._util import free_name, give_back, rows_per_batch, stored
 from tessera.llm.components import components
 
 #: Hashes held before their bits are counted.
@@ -110,6 +110,7 @@ def fingerprints(docs: DataFrame, id_col: Column, text_col: str = "text", shingl
                     wide = pa.binary(8 * words)
                     packed = pa.FixedSizeBinaryArray.from_buffers(wide, len(fp), [None, pa.py_buffer(np.ascontiguousarray(fp))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), packed], ["id", "fp"])
+            give_back()
 
     rows_per_batch(docs.sparkSession, 2048)
     kind = "long" if words == 1 else "binary"
@@ -183,7 +184,8 @@ def _forests(distance: int, words: int):
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
         if held:
-            links, _ = made(held, True)
+            links, held = made(held, True)
+            give_back()
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
