@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, exact_dedup, labelled, quality, secrets, sharding, simhash, token_store, toxicity
+from tessera.llm import bpe, decontaminate, exact_dedup, labelled, line_dedup, quality, secrets, sharding, simhash, token_store, toxicity
 from tessera.llm._util import work_dir
 
 
@@ -32,6 +32,11 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", F.size("deleted").alias("n_deleted"), "deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -102,5 +107,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(docs, quality.quality(F.col("text"), model), held_out)
 
 
-QUERIES = {"op5_decontamination": op5_decontamination, "op9_token_store": op9_token_store, "op8_secret_scan": op8_secret_scan, "op6_toxicity": op6_toxicity, "op10_quality": op10_quality, "op1_bpe_roundtrip": op1_bpe_roundtrip, "op2_simhash_components": op2_simhash_components, "op4_exact_dedup": op4_exact_dedup, "op7_sharding": op7_sharding}
+QUERIES = {
+    "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op2_simhash_components": op2_simhash_components,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
+    "op7_sharding": op7_sharding,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_token_store": op9_token_store,
+    "op10_quality": op10_quality,
+}
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
