@@ -128,6 +128,18 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.contaminated(docs, decontaminate.searchers(nothing, bench.limit(0))).count() == 0
 
 
+def test_item_in_a_third_of_the_documents_is_found(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 3000, n))
+    items = [draw(40), draw(14), draw(90)]
+    clean = [draw(300) for _ in range(80)]
+    hot = [draw(20 + k) + " " + items[k % 3] + " " + draw(70) for k in range(120)]
+    docs = spark.createDataFrame(list(enumerate(clean + hot)), "doc_id long, text string")
+    found = decontaminate.searchers(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, found).collect()}
+    assert got == {(80 + k, k % 3) for k in range(120)}
+
+
 def test_lcs():
     assert decontaminate.lcs([1, 2, 3, 4], [9, 2, 4, 3, 4]) == 3 and decontaminate.lcs([1], []) == 0
 
