@@ -5,7 +5,9 @@ words, so any common block of that many words begins with a common anchor. For a
 several documents hold, each later document is paired with the first holder only: pairs grow
 with the documents, not with the square of a passage's holders, and none is lost, as the first
 holder has the whole anchor. Each pair is aligned by patience diff over line hashes, and common
-blocks of ``least_words`` words or more are deleted from the later document. What is moved
+blocks of ``least_words`` words or more are deleted from the later document. An alignment keeps
+one order and lines that occur once; blocks that are repeated in either document or stand in
+another order are found by matching the rest against all runs of the first holder's lines. What is moved
 between tasks for this are line hashes; texts move once, to be cut.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -86,8 +89,46 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def longest_matches(a: list[int], b: list[int]) -> list[int]:
+    """For each line of ``b``, how many lines up to it stand in a row anywhere in ``a`` (the most):
+    a suffix automaton of ``a``, so the time grows with the lines of both."""
+    step: list[dict[int, int]] = [{}]
+    link, longest, last = [-1], [0], 0
+    for x in a:
+        new, p = len(step), last
+        step.append({})
+        link.append(0)
+        longest.append(longest[last] + 1)
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if longest[q] != longest[p] + 1:
+                copy = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                longest.append(longest[p] + 1)
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = copy
+                    p = link[p]
+                link[q] = q = copy
+            link[new] = q
+        last = new
+    out, at, n = [], 0, 0
+    for x in b:
+        while at and x not in step[at]:
+            at = link[at]
+            n = longest[at]
+        if x in step[at]:
+            at, n = step[at][x], n + 1
+        out.append(n)
+    return out
+
+
 def common_lines(a: list[int], b: list[int], words_b: list[int], least_words: int) -> list[int]:
-    """Lines of ``b`` in blocks, contiguous in both but for blank lines, of enough words."""
+    """Lines of ``b`` in blocks, contiguous in both but for blank lines, of enough words: all
+    that stand anywhere in ``a``, how often and in what order they may."""
     full_a, full_b = [k for k, h in enumerate(a) if h], [k for k, h in enumerate(b) if h]
     out, block, total = [], [], 0
     last = (-2, -2)
@@ -100,7 +141,14 @@ def common_lines(a: list[int], b: list[int], words_b: list[int], least_words: in
             block.append(full_b[j])
             total += words_b[full_b[j]]
         last = (i, j)
-    return out
+    if len(out) == len(full_b):
+        return out
+    total, covered, found = [0, *accumulate(words_b[k] for k in full_b)], len(full_b), set(out)
+    for end, n in reversed([*enumerate(longest_matches([a[k] for k in full_a], [b[k] for k in full_b]), 1)]):
+        if n and total[end] - total[end - n] >= least_words:
+            found.update(full_b[end - n : min(end, covered)])
+            covered = min(covered, end - n)
+    return sorted(found)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50) -> DataFrame:
