@@ -2,7 +2,7 @@
 
 Every step is a join and an aggregation over edges; nothing is collected, and each round is
 written to the shared work folder, so lineage stays short. Rounds grow with the logarithm of
-the longest chain.
+the longest chain. The centre of a large star is a hot key and dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._util import stored
+from tessera.llm._util import join_spread, stored
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -21,11 +21,11 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def _round(edges: DataFrame) -> DataFrame:
     """edges (a < b) -> edges (a < b) nearer to a star around each component's minimum."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    large = both.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    large = join_spread(both, low.drop("n"), "a", F.xxhash64("b"), low).filter("b > a").select(F.col("m").alias("a"), "b").distinct()
     low = large.groupBy("b").agg(F.min("a").alias("m"))
     return (
-        large.join(low, "b")
+        large.join(low, "b")  # a node has few smaller neighbours after the large step
         .select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("e"))
         .select("e.*")
         .filter("a < b")

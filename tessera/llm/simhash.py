@@ -3,7 +3,7 @@
 Fingerprints: each word shingle is hashed with XXH64; a bit is 1 where more than half of a
 text's hashes have it. Wider fingerprints mix further 64-bit words out of the same hash.
 
-Linking: blocks of a fingerprint are the join keys. With 64 bits cut into five blocks, two
+Linking (``near_components``): blocks of a fingerprint are the join keys. With 64 bits cut into five blocks, two
 fingerprints that differ in at most three bits agree on at least two blocks (pigeonhole), so
 the ten pairs of blocks are exact keys of 25 or 26 bits. Rows that meet on a key are
 compared in full by Hamming distance. Within a key's rows only a spanning forest of the
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._util import free_name, give_back, rows_per_batch, stored
+from tessera.llm._util import give_back, join_spread, slices, stored, text_or_empty
 from tessera.llm.components import components
 
 #: Hashes held before their bits are counted.
@@ -101,8 +101,7 @@ def fingerprints(docs: DataFrame, id_col: Column, text_col: str = "text", shingl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for part in slices(b, 1):
                 fp = fingerprint_array(part.column(1).cast(pa.binary()).to_pylist(), shingle, words)
                 if words == 1:
                     packed = pa.array(fp[:, 0].view(np.int64))
@@ -112,7 +111,6 @@ def fingerprints(docs: DataFrame, id_col: Column, text_col: str = "text", shingl
                 yield pa.RecordBatch.from_arrays([part.column(0), packed], ["id", "fp"])
             give_back()
 
-    rows_per_batch(docs.sparkSession, 2048)
     kind = "long" if words == 1 else "binary"
     return docs.select(id_col.cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id long, fp {kind}")
 
@@ -127,15 +125,6 @@ def pigeonhole_keys(fp: Column, bits: int = 64, blocks: int = 5, distance: int =
     return F.array(*[F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)])
 
 
-def sampled_keys(fp: np.ndarray, tables: int, bits: int, seed: int = 20240229) -> np.ndarray:
-    """(rows, tables): for each table ``bits`` fixed, randomly drawn bits of the fingerprint,
-    below the table's number."""
-    rng, width = np.random.default_rng(seed), fp.shape[1] * 64
-    flat = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
-    weights = np.left_shift(np.int64(1), np.arange(bits, dtype=np.int64))
-    return np.stack([(flat[:, rng.choice(width, bits, replace=False)].astype(np.int64) @ weights) + (t << bits) for t in range(tables)], axis=1)
-
-
 def forest(ids: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links (root, member) that connect what links within ``distance`` connect."""
     if len(ids) == 2:
@@ -229,7 +218,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fingerprints(docs, F.col(id_col), text_col, shingle).withColumnRenamed("id", "doc_id"),
         "simhash",
     )
-    distinct = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
+    distinct = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "simhash-distinct")
     keyed = distinct.select(
         F.explode(pigeonhole_keys(F.col("fp"), distance=distance, blocks=distance + 2)).alias("key"), F.col("fp").alias("id")
     ).select("key", "id", F.col("id").alias("fp"))
@@ -237,47 +226,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = stored(named, "simhash-components")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_fp = named.join(least, "component").select("fp", "component_id")
-    return fp.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-
-#: Near-duplicate removal: words of a fingerprint, tables and bits of its keys.
-WIDE, TABLES, KEY_BITS = 16, 128, 24
-
-
-def most_differing(similarity: float, bits: int) -> int:
-    """Expected differing bits at a Jaccard similarity of the shingle sets, plus a third of the
-    deviation: the cosine of two equally large sets is 2J / (1 + J)."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + np.sqrt(bits * p * (1 - p)) / 3)
+    sizes = named.groupBy("component").agg(F.count("*").alias("n"))
+    of_fp = join_spread(named, least, "component", F.xxhash64("fp"), sizes).select("fp", "component_id")
+    return join_spread(fp, of_fp, "fp", F.xxhash64("doc_id"), distinct).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def drop_near(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cap: int = 20_000) -> DataFrame:
-    """``docs`` with one row of each group of near copies, the first in file order; all columns
-    stay.
-
-    64 bits and blocks of exact keys cannot reach a similarity of 0.8 (some 10 bits differ), so
-    fingerprints here have 1024 bits, and keys are 128 draws of 24 bits: a pair of similarity
-    0.8 shares a key with probability 0.92, one of 0.85 with 0.99, one of 0.9 nearly always.
-    Links are settled by Hamming distance over all bits, and groups are connected components.
-    A null text counts as empty; texts without words are one group. ``docs`` must be a scan of
-    files or of a checkpoint.
-    """
-    rid, words = free_name(docs, "_rid"), WIDE
-    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
-    fp = stored(fingerprints(numbered, F.col(rid), text_col, shingle, words).groupBy("fp").agg(F.min("id").alias("id")), "near-fingerprints")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                wide = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, words)
-                keys = sampled_keys(wide, TABLES, KEY_BITS)
-                ids = np.repeat(part.column(0).to_numpy(), TABLES)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(ids)], ["key", "id"])
-
-    keyed = fp.select("id", "fp").mapInArrow(run, "key long, id long")
-    comp = components(links(keyed, fp, most_differing(similarity, 64 * words), words, cap))
-    kept = fp.select("id").join(comp.filter("node <> component").select(F.col("node").alias("id")), "id", "left_anti")
-    return numbered.join(kept.withColumnRenamed("id", rid), rid, "left_semi").drop(rid)
