@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, exact_dedup, labelled, simhash, toxicity
+from tessera.llm import bpe, decontaminate, exact_dedup, near, toxicity
 from tessera.llm._util import free_name, stored
 
 #: Stages 1 to 4 need the documents' columns doc_id and text; others may be there or not.
@@ -32,7 +32,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five words, similarity 0.8 or more."""
-    return simhash.drop_near(docs)
+    return near.drop_near(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
