@@ -1,14 +1,18 @@
 """Line deduplication by pairwise alignment.
 
-Lines are hashed. An anchor is the run of lines from one line on that reaches ``least_words``
-words, so any common block of that many words begins with a common anchor. For an anchor that
-several documents hold, each later document is paired with the first holder only: pairs grow
-with the documents, not with the square of a passage's holders, and none is lost, as the first
-holder has the whole anchor. Each pair is aligned by patience diff over line hashes, and common
-blocks of ``least_words`` words or more are deleted from the later document. An alignment keeps
-one order and lines that occur once; blocks that are repeated in either document or stand in
-another order are found by matching the rest against all runs of the first holder's lines. What is moved
-between tasks for this are line hashes; texts move once, to be cut.
+Lines are hashed, and documents that share lines are paired:
+
+* a rare line, held by two to ``RARE`` documents, pairs each of them with every earlier one;
+* a passage that more documents hold has no rare line. Each of its runs of lines that reach
+  ``least_words`` words pairs the later holders with the first one: pairs grow with the documents,
+  not with the square of a passage's holders, and none is lost, as the first holder has the run.
+
+Each pair is aligned by patience diff over line hashes, and common blocks of ``least_words`` words
+or more are deleted from the later document. Such an alignment keeps one order and lines that occur
+once; blocks that are repeated in either document or stand in another order are found by matching
+the rest against all runs of the earlier document's lines. What is moved between tasks for this
+are line hashes; texts move once, to be cut. Lines and documents that a large part of the corpus
+shares are dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._util import give_back, rows_per_batch, stored, text_or_empty
+from tessera.llm._util import give_back, join_spread, slices, stored, text_or_empty
+
+#: Documents that may hold a line that counts as rare.
+RARE = 8
 
 
 def outline(text: str) -> tuple[list[int], list[int]]:
@@ -151,56 +158,93 @@ def common_lines(a: list[int], b: list[int], words_b: list[int], least_words: in
     return sorted(found)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50) -> DataFrame:
-    """(_rid, lines): for each row with something to delete, the numbers of those lines. The
-    earlier of two rows is the one with the smaller id (nulls last), then the first in file
-    order."""
+def _outlines(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    """A row per (doc_id, raw = digest of the text): node (a number fixed in the written table), o (its
+    place in the order), copies (rows alike), hashes and words of the lines, anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [outline(t) for t in b.column(2).to_pylist()]
-            held = [sorted(anchors(h, w, least_words)) for h, w in made]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([h for h, _ in made], pa.list_(pa.int64())), pa.array([w for _, w in made], pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int64()))],
-                ["doc_id", "_rid", "hashes", "words", "anchors"],
-            )
-            give_back()
+            for part in slices(b, 2):
+                made = [outline(t) for t in part.column(2).to_pylist()]
+                held = [sorted(anchors(h, w, least_words)) for h, w in made]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([h for h, _ in made], pa.list_(pa.int64())), pa.array([w for _, w in made], pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int64()))],
+                    ["doc_id", "raw", "hashes", "words", "anchors"],
+                )
+        give_back()
+
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("raw"), text.alias("t"))
+    lined = rows.mapInArrow(run, "doc_id long, raw binary, hashes array<long>, words array<int>, anchors array<long>")
+    one = lined.groupBy("doc_id", "raw").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("hashes", "words", "anchors")])
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw", "node")
+    return stored(one.withColumn("node", F.monotonically_increasing_id()).withColumn("o", order), "line-outlines")
+
+
+def overlaps(lined: DataFrame) -> DataFrame:
+    """(node, first): each pair of a document and an earlier one that is to be aligned."""
+    lines = lined.select("o", F.explode(F.array_distinct(F.filter("hashes", lambda h: h != 0))).alias("line"))
+    held = stored(lines.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1"), "line-frequencies")
+    rare = join_spread(lines, held.filter(F.col("n") <= RARE).select("line"), "line", F.xxhash64("o.node"), held)
+    few = rare.groupBy("line").agg(F.array_sort(F.collect_list("o")).alias("os"))
+    earlier = F.transform("os", lambda o, i: F.struct(o["node"].alias("node"), F.transform(F.slice("os", 1, i), lambda f: f["node"]).alias("firsts")))
+    by_line = few.select(F.explode(earlier).alias("p")).select("p.node", F.explode("p.firsts").alias("first"))
+
+    runs = lined.select("o", F.explode("anchors").alias("anchor"))
+    first = stored(runs.groupBy("anchor").agg(F.min("o").alias("f"), F.count("*").alias("n")).filter("n > 1"), "line-runs")
+    met = join_spread(runs, first.select("anchor", F.col("f.node").alias("first")), "anchor", F.xxhash64("o.node"), first)
+    by_run = met.select(F.col("o.node").alias("node"), "first").filter("first <> node")
+    return by_line.unionByName(by_run).distinct()
+
+
+def repeated_lines(lined: DataFrame, least_words: int) -> DataFrame:
+    """(node, lines): for each document with something to delete, the numbers of those lines."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rid, ha, hb, wb = (b.column(k).to_pylist() for k in ("_rid", "first_hashes", "hashes", "words"))
-            found = [common_lines(x, y, w, least_words) for x, y, w in zip(ha, hb, wb, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["_rid", "lines"])
-
-    rows_per_batch(docs.sparkSession, 2000)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_rid"), text_or_empty(text_col).alias("t"))
-    lined = stored(rows.mapInArrow(run, "doc_id long, _rid long, hashes array<long>, words array<int>, anchors array<long>"), "line-outlines")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_rid").alias("r"))
-    placed = lined.select("_rid", order.alias("o"), F.explode("anchors").alias("anchor"))
-    first = placed.groupBy("anchor").agg(F.min("o").alias("first"), F.count("*").alias("n")).filter("n > 1").select("anchor", F.col("first.r").alias("first"))
-    pairs = placed.join(first, "anchor").filter("first <> _rid").select("_rid", "first").distinct()
-    outlines = lined.select("_rid", "hashes", "words")
-    firsts = lined.select(F.col("_rid").alias("first"), F.col("hashes").alias("first_hashes"))
-    both = pairs.join(outlines, "_rid").join(firsts, "first")
-    found = both.mapInArrow(align, "_rid long, lines array<int>").select("_rid", F.explode("lines").alias("line"))
-    return found.groupBy("_rid").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                node, ha, hb, wb = (part.column(k).to_pylist() for k in ("node", "first_hashes", "hashes", "words"))
+                found = [common_lines(x, y, w, least_words) for x, y, w in zip(ha, hb, wb, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["node", "lines"])
+
+    pairs = stored(overlaps(lined), "line-pairs")
+    later = pairs.join(lined.select("node", "hashes", "words"), "node")
+    firsts = lined.select(F.col("node").alias("first"), F.col("hashes").alias("first_hashes"))
+    both = join_spread(later, firsts, "first", F.xxhash64("node"), pairs.groupBy("first").agg(F.count("*").alias("n")))
+    found = both.mapInArrow(align, "node long, lines array<int>").select("node", F.explode("lines").alias("line"))
+    return found.groupBy("node").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50) -> DataFrame:
     """One row per row of ``docs``: doc_id, text (what is left; null stays null), n_lines,
     deleted (line numbers from 0, empty if none).
 
-    A document that is a copy of an earlier one loses all lines. Blank lines between deleted
-    ones stay. Repeated rows count as copies of the first. An empty table gives an empty
-    result; other columns are not read. ``docs`` must be a scan of files or of a checkpoint.
+    The earlier of two documents is the one with the smaller id (null last), then the smaller digest
+    of the text. A document that is a copy of an earlier one loses all lines. Of rows with the same
+    id and text one counts as the earliest and the others as copies. Blocks of fewer than
+    ``least_words`` words stay, and so do blank lines between deleted ones. An empty table gives an
+    empty result; other columns are not read.
     """
-    found = stored(repeated_lines(docs, id_col, text_col, least_words), "line-blocks")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_rid"), F.col(text_col).cast("string").alias("t"))
-    lines = F.split("t", "\n", -1)
-    cut = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("lines", i)), "\n")
-    return rows.join(found, "_rid", "left").select(
+    lined = _outlines(docs, id_col, text_col, least_words)
+    full = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i) > 0)
+    enough = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + w) >= least_words
+    whole = F.when(enough, full).otherwise(F.array().cast("array<int>"))
+    cut = lined.join(repeated_lines(lined, least_words), "node", "left").select("doc_id", "raw", "copies", "lines", F.when(F.col("copies") > 1, whole).alias("whole"))
+    cut = stored(cut.filter("lines is not null or copies > 1").withColumnsRenamed({"doc_id": "_id", "raw": "_raw"}), "line-blocks")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("raw"))
+    joined = rows.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_raw")), "left")
+    if not cut.filter("copies > 1").isEmpty():
+        again = joined.filter("copies > 1").groupBy("doc_id", "raw", "t", "lines", "whole").agg(F.count("*").alias("copies"))
+        nth = again.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("nth"))
+        nth = nth.withColumn("lines", F.when(F.col("nth") == 1, F.col("lines")).otherwise(F.col("whole")))
+        joined = joined.filter("copies is null or copies = 1").select("doc_id", "t", "lines").unionByName(nth.select("doc_id", "t", "lines"))
+    lines, gone = F.split("t", "\n", -1), F.coalesce("lines", F.array().cast("array<int>"))
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("lines", i)), "\n")
+    return joined.select(
         "doc_id",
-        F.when(F.col("lines").isNull(), F.col("t")).otherwise(cut).alias("text"),
+        F.when(F.size(gone) == 0, F.col("t")).otherwise(left).alias("text"),
         F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
-        F.coalesce("lines", F.array().cast("array<int>")).alias("deleted"),
+        gone.alias("deleted"),
     )
