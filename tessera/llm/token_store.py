@@ -5,13 +5,17 @@ Each document's id stream is cut into chunks where a rolling hash of the last 16
 ids and stored once however many documents hold it. A document is a recipe, the list of its
 chunks' names; recipes are written in ascending doc_id order, which fixes where each
 document's ids stand in the whole stream. A Merkle manifest sits on top: a document's root is
-the hash of its names, a part's root the hash of its documents' roots, the store's root the
-hash of the parts' roots. Reading recomputes every chunk's name and every document's root from
-what the files hold and fails on any difference.
+the hash of its names, a run's root (``RUN`` documents of a part) that of its documents' roots, a
+part's root that of its runs' roots, the store's root that of the parts' roots.
+
+Reading first rebuilds the whole manifest from the recipes and compares it row by row with the
+stored one, and looks for every chunk that a recipe names, once and only once; then it recomputes
+every chunk's name and every document's root from what the files hold. Any difference, so any
+lost or changed file or row, raises ``StoreError`` (on executors: fails the job).
 
 Files below ``path``: ``chunks`` (digest, n, ids as zstd-compressed little-endian unsigned
-16-bit numbers), ``recipes`` (start, doc_id, n_tokens, root, digests), ``manifest`` (part,
-documents, ids, root; part -1 is the whole store).
+16-bit numbers), ``recipes`` (start, doc_id, n_tokens, root, digests, part, nth), ``manifest``
+(part, run, first, documents, ids, root; run -1 is a whole part, part -1 the whole store).
 
 Encoding goes word by word: a worker encodes each distinct word once and keeps it.
 """
@@ -20,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,13 +32,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm._util import stored, text_or_empty
+from tessera.llm._util import join_spread, slices, stored, text_or_empty
 
 END = 2
+#: Documents under one run root of the manifest.
+RUN = 1 << 16
 LEAST, MOST, MASK = 256, 8192, np.uint64((1 << 10) - 1)
 _GEAR = np.random.default_rng(1).integers(0, 2**63, 1 << 16, dtype=np.int64).astype(np.uint64)
 #: Words kept by a worker before it starts afresh.
@@ -67,7 +73,11 @@ def _cut_words(text: pa.Array) -> pa.Array:
 
 
 #: Words of these letters alone are one pre-token, whose last id, and no other, ends a word.
-_PLAIN = re.compile("[a-zà-öø-ÿ]+")
+_PLAIN = "^[a-zà-öø-ÿ]+$"
+
+
+class StoreError(ValueError):
+    """The files of a store do not agree with each other."""
 
 
 @lru_cache(maxsize=2)
@@ -80,9 +90,9 @@ def _word_ends(path: str) -> np.ndarray:
 def _learn(words: list[str], path: str) -> None:
     """Encode words that are not kept yet; plain ones many at a time, as one text."""
     t, ends = tokenizer(path), _word_ends(path)
-    plain, alone = [], []
-    for w in words:
-        (plain if _PLAIN.fullmatch(w) else alone).append(w)
+    every = pa.array(words, pa.string())
+    is_plain = pc.match_substring_regex(every, _PLAIN)
+    plain, alone = every.filter(is_plain).to_pylist(), every.filter(pc.invert(is_plain)).to_pylist()
     for k in range(0, len(plain), 8192):
         part = plain[k : k + 8192]
         ids = np.array(t.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
@@ -148,9 +158,9 @@ def chunk_bounds(start: int, stop: int, allowed: np.ndarray) -> list[int]:
 def _packer(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        pack = zstandard.ZstdCompressor(level=1).compress
         for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                b = whole.slice(at, 4000)
+            for b in slices(whole, 1, 16 << 20, 4000):
                 ids, bounds = encode_array(b.column(1), path)
                 allowed, names, blobs, sizes = cuts(ids), [], [], []
                 for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -159,7 +169,7 @@ def _packer(path: str):
                     name = [hashlib.sha256(p).digest() for p in parts]
                     names.append(name)
                     sizes.append([len(p) // 2 for p in parts])
-                    blobs.append([None if n in seen or seen.add(n) else zstandard.compress(p, 3) for n, p in zip(name, parts, strict=True)])
+                    blobs.append([None if n in seen or seen.add(n) else pack(p) for n, p in zip(name, parts, strict=True)])
                 if len(seen) > 200_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays(
@@ -179,7 +189,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "
 
     Every text gets the end id, so a null or empty text is one id. Rows with equal ids stand
     side by side in the order of their roots; null ids come first. An empty table gives empty
-    files and a manifest of the empty store.
+    files and an empty manifest but for the root of nothing.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t"))
     packed = stored(
@@ -199,33 +209,55 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "
     for r in totals:
         offset[r.part], before = before, before + r.ids
     base = F.split(F.lit(",".join(str(offset.get(k, 0)) for k in range(max(offset, default=0) + 1))), ",").cast("array<bigint>")
-    up_to = F.sum("n_tokens").over(W.partitionBy("part").orderBy("doc_id", "root").rowsBetween(W.unboundedPreceding, -1))
-    placed = ordered.withColumn("start", F.get(base, F.col("part")) + F.coalesce(up_to, F.lit(0)))
-    recipes = placed.select("start", "doc_id", "n_tokens", "root", "digests", "part")
+    by = W.partitionBy("part").orderBy("doc_id", "root")
+    up_to, nth = F.sum("n_tokens").over(by.rowsBetween(W.unboundedPreceding, -1)), F.row_number().over(by).cast("long") - 1
+    placed = ordered.withColumns({"start": F.get(base, F.col("part")) + F.coalesce(up_to, F.lit(0)), "nth": nth})
+    recipes = placed.select("start", "doc_id", "n_tokens", "root", "digests", "part", "nth")
     recipes.repartitionByRange(parts, "start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
-    write_manifest(docs.sparkSession, path)
-
-
-def write_manifest(spark: SparkSession, path: str) -> None:
-    """Roots of the parts by an aggregation per part, of the store over its few parts."""
-    sorted_roots = F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda s: F.hex(s["root"]))
-    of_part = (
-        _recipes(spark, path)
-        .groupBy("part", F.floor(F.col("start") / (1 << 28)).alias("run"))
-        .agg(F.sha2(F.unhex(F.concat_ws("", sorted_roots)), 256).alias("root"), F.count("*").alias("documents"), F.sum("n_tokens").alias("ids"), F.min("start").alias("first"))
-        .orderBy("part", "run")
-    )
-    runs = of_part.collect()
-    whole = hashlib.sha256("".join(r.root for r in runs).encode()).hexdigest()
-    lines = [f"{r.part},{r['first']},{r.documents},{r.ids},{r.root}" for r in runs] + [f"-1,0,{sum(r.documents for r in runs)},{sum(r.ids for r in runs)},{whole}"]
-    field = F.split("line", ",")
-    spark.range(1).select(F.explode(F.split(F.lit("\n".join(lines)), "\n")).alias("line")).select(
-        field[0].cast("int").alias("part"), field[1].cast("long").alias("first"), field[2].cast("long").alias("documents"), field[3].cast("long").alias("ids"), field[4].alias("root")
-    ).coalesce(1).write.parquet(f"{path}/manifest")
+    manifest_of(_recipes(docs.sparkSession, path)).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def manifest_of(recipes: DataFrame) -> DataFrame:
+    """(part, run, first, documents, ids, root): what the recipes' manifest must be. A run has at most
+    ``RUN`` documents, so a task holds few roots at a time."""
+
+    def level(rows: DataFrame, keys: list, order: str, documents, ids) -> DataFrame:
+        roots = F.transform(F.array_sort(F.collect_list(F.struct(order, "root"))), lambda s: F.hex(s["root"]))
+        return rows.groupBy(*keys).agg(
+            F.min("first").alias("first"), documents.alias("documents"), ids.alias("ids"), F.unhex(F.sha2(F.unhex(F.concat_ws("", roots)), 256)).alias("root")
+        )
+
+    narrow = recipes.select("part", F.floor(F.col("nth") / RUN).cast("long").alias("run"), "nth", F.col("start").alias("first"), "n_tokens", "root")
+    added = F.sum("documents"), F.sum("ids")
+    runs = level(narrow, ["part", "run"], "nth", F.count("*"), F.sum("n_tokens"))
+    parts = level(runs, ["part"], "run", *added).withColumn("run", F.lit(-1).cast("long"))
+    whole = level(parts, [], "part", *added).withColumns({"part": F.lit(-1), "run": F.lit(-1).cast("long")})
+    names = ["part", "run", "first", "documents", "ids", "root"]
+    return runs.select(names).unionByName(parts.select(names)).unionByName(whole.select(names))
+
+
+def verify(spark: SparkSession, path: str) -> DataFrame:
+    """Raise unless the manifest is that of the recipes and each chunk they name is there once.
+    Returns (digest, n): how often the recipes name each chunk."""
+    try:
+        told = spark.read.schema("part int, run long, first long, documents long, ids long, root binary").parquet(f"{path}/manifest")
+        names = told.columns
+        made = manifest_of(_recipes(spark, path)).select(names)
+        wrong = told.exceptAll(made).unionByName(made.exceptAll(told)).limit(3).collect()
+        uses = stored(_recipes(spark, path).select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")), "token-uses")
+        there = _chunks(spark, path).groupBy("digest").agg(F.count("*").alias("there"))
+        bad = uses.join(there, "digest", "left").filter("there is null or there > 1").limit(3).collect()
+    except AnalysisException as e:
+        raise StoreError(f"a table of the store is missing: {e}") from e
+    if wrong:
+        raise StoreError(f"recipes and manifest differ at (part, run) {sorted({(r.part, r.run) for r in wrong})}")
+    if bad:
+        raise StoreError(f"chunks are missing or stand twice, as {bad[0].digest.hex()}")
+    return uses
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("start long, doc_id long, n_tokens long, root binary, digests array<binary>, part int").parquet(f"{path}/recipes")
+    return spark.read.schema("start long, doc_id long, n_tokens long, root binary, digests array<binary>, part int, nth long").parquet(f"{path}/recipes")
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -235,7 +267,7 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
 def _checked_ids(digest: bytes, blob: bytes) -> np.ndarray:
     raw = zstandard.decompress(blob)
     if hashlib.sha256(raw).digest() != digest:
-        raise ValueError(f"chunk {digest.hex()} does not hold the ids it is named by")
+        raise StoreError(f"chunk {digest.hex()} does not hold the ids it is named by")
     return np.frombuffer(raw, "<u2")
 
 
@@ -282,8 +314,10 @@ def crc32_joined(parts: list[tuple[int, int]]) -> int:
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: start, doc_id, n_tokens, ids_crc32 (of the ids as
-    little-endian unsigned 32-bit numbers). Chunks are checked against their names and
-    documents against their roots and lengths; chunks themselves are not shuffled."""
+    little-endian unsigned 32-bit numbers). The manifest is checked when this is called, chunks
+    against their names and documents against their roots and lengths as rows are made; chunks
+    themselves are not shuffled, and chunks of many documents are dealt over several tasks."""
+    uses = verify(spark, path)
 
     def of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,19 +331,20 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
             for r in b.to_pylist():
                 held = sorted(r["held"], key=lambda c: c["pos"])
                 if _root([c["digest"] for c in held]) != r["root"] or sum(c["n"] for c in held) != r["n_tokens"]:
-                    raise ValueError(f"document {r['doc_id']} at {r['start']} is not what its recipe says")
+                    raise StoreError(f"document {r['doc_id']} at {r['start']} is not what its recipe says")
                 crcs.append(crc32_joined([(c["crc"], 4 * c["n"]) for c in held]))
             yield pa.RecordBatch.from_arrays([b.column("start"), b.column("doc_id"), b.column("n_tokens"), pa.array(crcs, pa.int64())], ["start", "doc_id", "n_tokens", "ids_crc32"])
 
     sums = _chunks(spark, path).select("digest", "ids").mapInArrow(of_chunks, "digest binary, crc long, n long")
     placed = _recipes(spark, path).select("start", "doc_id", "n_tokens", "root", F.posexplode("digests").alias("pos", "digest"))
-    joined = placed.join(sums, "digest")
+    joined = join_spread(placed, sums, "digest", F.xxhash64("start"), uses)
     held = F.collect_list(F.struct("pos", "digest", "crc", "n")).alias("held")
     return joined.groupBy("start", "doc_id", "n_tokens", "root").agg(held).mapInArrow(of_documents, "start long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The documents' ids themselves: start, doc_id, ids (array of int)."""
+    """The documents' ids themselves: start, doc_id, ids (array of int), checked likewise."""
+    uses = verify(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -320,5 +355,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("start"), b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["start", "doc_id", "ids"])
 
     placed = _recipes(spark, path).select("start", "doc_id", F.posexplode("digests").alias("pos", "digest"))
-    joined = placed.join(_chunks(spark, path), "digest").groupBy("start", "doc_id").agg(F.collect_list(F.struct("pos", "digest", "ids")).alias("held"))
+    joined = join_spread(placed, _chunks(spark, path).drop("n"), "digest", F.xxhash64("start"), uses)
+    joined = joined.groupBy("start", "doc_id").agg(F.collect_list(F.struct("pos", "digest", "ids")).alias("held"))
     return joined.mapInArrow(run, "start long, doc_id long, ids array<int>")
