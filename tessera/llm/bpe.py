@@ -10,9 +10,11 @@
 3. The distinct words are dealt by hash into buckets of the corpus-wide distinct-word table;
    a bucket's task encodes each of its words once and sends the ids back to the chunks, which
    put them in by position. Words and ids travel as compressed blocks, a block per chunk and
-   bucket. Texts and words share one exchange: both of its readers reuse it.
-4. Decoding joins ids to the tokenizer's id-to-piece table. Its size is that of the
-   vocabulary, whatever the corpus, so it is a map-side join.
+   bucket. Texts and words share one exchange: both of its readers reuse it. Buckets have numbers
+   that Spark's hash deals out one to each partition.
+4. Decoding joins ids to the tokenizer's id-to-piece table by position. Its size is that of the
+   vocabulary, whatever the corpus, so it is a map-side join: each task takes the pieces of its ids
+   from the whole table.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._util import give_back, text_or_empty
+from tessera.llm._util import give_back, slices, text_or_empty
 
+#: Words that an encoding task keeps before it starts afresh: bounded memory.
+_KEPT = 2_000_000
 #: Unicode White_Space, fixed values.
 SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -113,12 +117,20 @@ def _cut(b: pa.RecordBatch) -> tuple[pa.DictionaryArray, np.ndarray]:
     return pa.concat_arrays([*out, words.slice(last)]).dictionary_encode(), counts
 
 
-#: Texts of a chunk go to ``part`` = its number, its words of a bucket to ``part`` = -1 - bucket.
+#: Texts of a chunk go to ``part`` = its number, its words of a bucket to the bucket's (negative) part.
 PARTS = "part long, chunk long, ids array<long>, counts array<long>, packed binary, bucket_of binary, words binary"
 _KINDS = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
 
 
-def _parts(number: int, held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+def bucket_parts(spark: SparkSession, buckets: int) -> list[int]:
+    """For each bucket a negative number that hash partitioning sends to the partition of that
+    number, so no two buckets meet in a task while others idle."""
+    tried = spark.range(1, 64 * buckets, 1, 1).select((-F.col("id")).alias("part"))
+    found = dict(tried.groupBy(F.pmod(F.hash("part"), F.lit(buckets)).alias("k")).agg(F.max("part")).collect())
+    return [found.get(k, -64 * buckets - k) for k in range(buckets)]
+
+
+def _parts(number: int, held: list[tuple], parts: list[int]) -> Iterator[pa.RecordBatch]:
     ids, words, counts = zip(*held, strict=True)
     coded = pa.chunked_array(words).unify_dictionaries()
     at = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
@@ -127,21 +139,21 @@ def _parts(number: int, held: list[tuple], buckets: int) -> Iterator[pa.RecordBa
     rank = np.empty(len(often), np.int64)
     rank[often] = np.arange(len(often))
     distinct = distinct.take(pa.array(often))
-    bucket = np.fromiter(map(zlib.crc32, distinct.to_pylist()), np.int64, len(distinct)) % buckets
+    bucket = np.fromiter(map(zlib.crc32, distinct.to_pylist()), np.int64, len(distinct)) % len(parts)
     order = np.argsort(bucket, kind="stable")
-    in_buckets, bounds = distinct.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(buckets + 1))
+    in_buckets, bounds = distinct.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(len(parts) + 1))
 
     def row(*values) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, _KINDS, strict=True)], ["part", "chunk", "ids", "counts", "packed", "bucket_of", "words"])
 
     yield row(number, number, pa.concat_arrays(ids).to_pylist(), np.concatenate(counts).astype(np.int64), _pack(rank[at]), _pack(bucket), None)
-    for k in range(buckets):
+    for k, part in enumerate(parts):
         if bounds[k + 1] > bounds[k]:
             block = _pack_bytes(in_buckets.slice(bounds[k], bounds[k + 1] - bounds[k]))
-            yield row(-1 - k, number, None, None, None, None, block)
+            yield row(part, number, None, None, None, None, block)
 
 
-def _chunked(limit: int, buckets: int):
+def _chunked(limit: int, parts: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for whole in batches:
@@ -154,12 +166,12 @@ def _chunked(limit: int, buckets: int):
                 held.append((pa.concat_arrays([b.column(0)]), words, counts))
                 size, at = size + len(words), stop
                 if size >= limit or at < whole.num_rows:
-                    yield from _parts(number, held, buckets)
+                    yield from _parts(number, held, parts)
                     number, held, size = number + 1, [], 0
             whole = b = None
             give_back()
         if held:
-            yield from _parts(number, held, buckets)
+            yield from _parts(number, held, parts)
 
     return run
 
@@ -179,21 +191,23 @@ def _unpack_codes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _unpack(data[4 : 4 + n]), _unpack(data[4 + n :])
 
 
-def _encoder(path: str):
+def _encoder(path: str, parts: list[int]):
+    bucket = {part: k for k, part in enumerate(parts)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, table, now = tokenizer(path), {}, None
         for b in batches:
             for part, chunk, block in zip(b.column("part").to_pylist(), b.column("chunk").to_pylist(), b.column("words"), strict=True):
                 if part >= 0:
                     continue
-                if part != now:
+                if part != now or len(table) > _KEPT:
                     table, now = {}, part
                 words = _unpack_bytes(block.as_buffer()).cast(pa.string()).to_pylist()
                 new = [w for w in words if w not in table]
                 for w, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True):
                     table[w] = np.array(e.ids, "<u4").tobytes()
                 codes = _pack_codes([table[w] for w in words])
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([-1 - part], pa.int32()), pa.array([codes], pa.binary())], ["chunk", "bucket", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket[part]], pa.int32()), pa.array([codes], pa.binary())], ["chunk", "bucket", "codes"])
         t = table = None
         give_back()
 
@@ -223,15 +237,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Ids are those of the byte-level tokenizer file at ``path`` with add_special_tokens off; a
     special token written out in a text becomes its id. ``path`` must be readable on every
     executor. A null text counts as empty and gives no ids. Repeated rows and null ids each
-    keep their row. A text is never cut: a chunk holds at least one. ``docs`` must be a scan of
-    files or of a checkpoint, so that a task that runs again makes the same chunks. An empty table gives an
+    keep their row. A text is never cut: a chunk holds at least one. Texts and words of a chunk
+    come from one exchange, in which a task that runs again makes the same chunks if ``docs`` is a
+    scan of files or of a checkpoint. An empty table gives an
     empty result; other columns are not read.
     """
-    text, buckets = text_or_empty(text_col), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text, spark = text_or_empty(text_col), docs.sparkSession
+    numbers = bucket_parts(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = F.when(F.contains(text, F.lit("\x00")), F.array(text)).otherwise(F.split(F.replace(text, F.lit(" "), F.lit("\x00 ")), "\x00"))
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
-    parts = split.mapInArrow(_chunked(chunk_words, buckets), PARTS).repartition("part")
-    coded = parts.sortWithinPartitions("part").mapInArrow(_encoder(path), "chunk long, bucket int, codes binary")
+    parts = split.mapInArrow(_chunked(chunk_words, numbers), PARTS).repartition("part")
+    coded = parts.sortWithinPartitions("part").mapInArrow(_encoder(path, numbers), "chunk long, bucket int, codes binary")
     return coded.groupBy("chunk").cogroup(parts.groupBy("part")).applyInArrow(_rebuild, "doc_id long, n_tokens long, ids binary")
 
 
@@ -254,8 +270,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(path)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for part in slices(b, 2, 16 << 20, 1000):
                 codes = pa.concat_arrays([pc.fill_null(part.column(2), b"")])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), codes, decode_array(codes, table)], ["doc_id", "n_tokens", "ids", "decoded"])
         table = None

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._util import give_back
+from tessera.llm._util import give_back, slices
 
-#: Rows scored together in a worker.
+#: Texts that a model is fitted on together.
 SLICE = 2000
 
 
@@ -51,7 +51,7 @@ def scored(text: Column, score: Callable[[pa.Array], np.ndarray]) -> Column:
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            parts = [score(b.slice(at, SLICE)) for at in range(0, len(b), SLICE)]
+            parts = [score(part.column(0)) for part in slices(pa.RecordBatch.from_arrays([b], ["t"]), 0)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
             give_back()
 

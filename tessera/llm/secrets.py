@@ -1,10 +1,13 @@
 """Secret scanning: fixed rules plus character Markov models.
 
-Rules find assignments, access keys and long hex runs. The models judge other long runs of
-key characters: one first-order character model of random strings, one of ordinary
-identifiers, and a run is a secret where the log-likelihood ratio per character and in total
-is high enough. Both models are trained from labelled samples: strings that the rules mark
-are random, long runs of letters in a sample of texts are ordinary.
+Rules find assignments, access keys and long hex runs. The models judge every other run of 16 or
+more key characters, whatever its characters: one first-order character model of random strings, one
+of ordinary identifiers, and a run is a secret where the log-likelihood ratio per character and in
+total is high enough. Both models are trained from labelled samples: strings that the rules for
+assignments and access keys mark are random (hex runs have an alphabet of their own and a rule),
+distinct runs of a sample of texts that no rule marks are ordinary: words, numbers, dates, slugs,
+paths, rulers. No transition counts for more than ``CLIP``, so a few strange ones (as in camel case)
+do not decide.
 
 DataFrame expressions only. What is broadcast or sent to the driver is a table over pairs of
 ASCII characters, whatever the input.
@@ -26,11 +29,12 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: A whole run of 16 or more key characters with a digit and a letter among them.
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
-ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{12,}(?![A-Za-z0-9+/_=-])"
+#: A whole run of 16 or more key characters with a letter or digit among them; ordinary runs are learnt from 6 characters on.
+RUN = r"(?<![A-Za-z0-9+/_=-])(?=[+/_=-]*[A-Za-z0-9])[A-Za-z0-9+/_=-]{16,}"
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{6,}"
 ALPHABET = 128
-SEEN = 66
+#: Kinds of key characters; bound of a transition's log ratio.
+SEEN, CLIP = 66, 3.5
 
 
 @dataclass
@@ -77,42 +81,42 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _pairs(tokens: DataFrame) -> list:
-    """Counts of neighbouring ASCII characters in a column of tokens: at most 128 x 128 rows."""
-    codes = tokens.select(F.transform(F.split("token", ""), lambda c: F.ascii(c)).alias("c"))
-    codes = codes.select("c", F.posexplode("c").alias("i", "b")).filter("i > 0").select(F.get("c", F.col("i") - 1).alias("a"), "b")
-    return codes.filter("a < 128 and b < 128").groupBy("a", "b").count().collect()
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_random: int = 20_000, max_texts: int = 20_000) -> MarkovModel:
-    """Models from at most ``max_random`` strings that the rules mark and the ordinary
-    identifiers of at most ``max_texts`` texts, both chosen by hash. Without marked strings
-    every ratio is 0 and the method adds nothing."""
-    marked = base_spans(docs.filter(F.col(text_col).rlike(f"{ASSIGN}|{ACCESS}|{HEX}")), id_col, text_col)
-    values = F.flatten(F.array(*[F.coalesce(F.col(k), F.array()) for k in KINDS[:3]]))
-    random = (
-        marked.select(F.explode(F.transform(values, lambda s: s["value"])).alias("token"))
-        .filter(F.length("token") >= 16)
-        .orderBy(F.xxhash64("token"), "token")
-        .limit(max_random)
-    )
-    texts = docs.select(F.col(id_col).alias("i")).orderBy(F.xxhash64("i"), "i").limit(max_texts).distinct()
-    sampled = docs.join(F.broadcast(texts), F.col(id_col) == F.col("i"), "left_semi")
-    ordinary = sampled.select(F.explode(F.regexp_extract_all(text_or_empty(text_col), F.lit(ORDINARY), F.lit(0))).alias("token"))
+    """Counts of neighbouring characters in a column of ASCII tokens: at most 128 x 128 rows."""
+    pair = F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, F.lit(2)))
+    return tokens.select(F.explode(pair).alias("p")).groupBy("p").count().collect()
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_random: int = 20_000, max_texts: int = 5_000) -> MarkovModel:
+    """Models from at most ``max_random`` distinct strings that the rules mark (16 characters or
+    more) and the distinct ordinary runs of at most ``max_texts`` texts, both chosen by hash.
+
+    Null and empty texts and repeated rows teach nothing more; other columns are not read. Without
+    marked strings every ratio is 0 and the method adds nothing."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text"))
+    marked = base_spans(rows.filter(F.col("_text").rlike(f"{ASSIGN}|{ACCESS}")), "doc_id", "_text")
+    values = F.flatten(F.array(*[F.coalesce(F.col(k), F.array()) for k in KINDS[:2]]))
+    random = marked.select(F.explode(F.transform(values, lambda s: s["value"])).alias("token")).filter(F.length("token") >= 16).distinct()
+    random = random.orderBy(F.xxhash64("token"), "token").limit(max_random)
+    some = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("_text")).limit(max_texts).select("_text")
+    unmarked = F.regexp_replace("_text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
+    ordinary = some.select(F.explode(F.regexp_extract_all(unmarked, F.lit(ORDINARY), F.lit(0))).alias("token")).distinct()
     tables = []
-    for rows in (_pairs(random), _pairs(ordinary)):
+    for tokens in (random, ordinary):
         pair, one = [0] * ALPHABET**2, [0] * ALPHABET
-        for a, b, n in rows:
-            pair[a * ALPHABET + b] += n
-            one[a] += n
+        for p, n in _pairs(tokens):
+            pair[ord(p[0]) * ALPHABET + ord(p[1])] += n
+            one[ord(p[0])] += n
         tables.append((pair, one))
     (rp, ro), (op, oo) = tables
     if not sum(ro):
         return MarkovModel([0.0] * ALPHABET**2)
-    ratio = [
-        math.log((rp[k] + 0.5) / (ro[k // ALPHABET] + 0.5 * SEEN)) - math.log((op[k] + 0.5) / (oo[k // ALPHABET] + 0.5 * SEEN))
-        for k in range(ALPHABET**2)
-    ]
-    return MarkovModel(ratio)
+
+    def ratio(k: int) -> float:
+        a = k // ALPHABET
+        x = math.log((rp[k] + 0.5) / (ro[a] + 0.5 * SEEN)) - math.log((op[k] + 0.5) / (oo[a] + 0.5 * SEEN))
+        return max(-CLIP, min(CLIP, x))
+
+    return MarkovModel([ratio(k) for k in range(ALPHABET**2)])
 
 
 def _score(token: Column, model: MarkovModel) -> Column:

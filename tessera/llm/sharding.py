@@ -5,9 +5,10 @@ slot-to-shard map says which shard holds a slot. Version 0 deals the slots out e
 rebalancing edits the map (it moves whole slots) and stores the next version beside it, so
 a reader can always tell which records moved and why.
 
-Equal texts share a slot. A group of copies whose bytes exceed a fixed share of a shard is
-hot: its records are spread over the slots by their id. There can be at most
-``shards * HOT`` such groups, whatever the input, which bounds what is broadcast.
+Equal texts share a slot, so a group of copies is in one shard. Only a group that alone has more
+bytes than a shard's fair share, which no map could hold with shards of equal size, is spread over
+the slots by its records' ids. There are at most as many such groups as shards, whatever the input,
+which bounds what is broadcast.
 
 The corpus work is DataFrame expressions only. The driver sees one row per virtual slot.
 """
@@ -23,8 +24,8 @@ from pyspark.sql import Window as W
 from tessera.llm._util import stored, work_dir
 
 SLOTS = 4096
-#: A group with more than 1/HOT of a shard's fair share of bytes is spread over the slots.
-HOT = 8
+#: Rows of a virtual slot are numbered in so many parts, so a large group is no single task.
+PARTS = 64
 
 
 def even_map(shards: int, slots: int = SLOTS) -> list[int]:
@@ -119,8 +120,8 @@ def assign_shards(
     map_version.
 
     ``size`` is the UTF-8 bytes of the text plus 1 (null text: 1). ``slot`` is the row's
-    position in its shard, without gaps from 0. Rows with the same id and text share a
-    virtual slot and count as one record of their summed size. Null ids hash like any
+    position in its shard, without gaps from 0. Rows with equal texts share a virtual slot and so a
+    shard, unless their bytes exceed a shard's fair share. Null ids hash like any
     other value. An empty table gives an empty result, and the maps are stored all the
     same. Other columns are not read. A shard can exceed its fair share by at most the
     bytes of one virtual slot.
@@ -137,7 +138,7 @@ def assign_shards(
         "shard-rows",
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
-    hot = rows.groupBy("_text").agg(F.sum("size").alias("_b")).filter(F.col("_b") > total / (shards * HOT))
+    hot = rows.groupBy("_text").agg(F.sum("size").alias("_b")).filter(F.col("_b") > total / shards)
     spread = rows.join(F.broadcast(hot.select("_text", F.lit(True).alias("_hot"))), "_text", "left")
     key = F.when(F.col("_hot"), F.xxhash64("_text", "doc_id")).otherwise(F.xxhash64("_text"))
     spread = spread.select("doc_id", "size", "text_crc32", F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"))
@@ -156,16 +157,21 @@ def assign_shards(
             seen[shard] += count[slot]
         maps.save(version, mapping, offset)
 
-    place = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
+    sub = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(PARTS)).cast("int")
+    parted = spread.withColumn("_part", sub)
+    up_to = F.sum("_n").over(W.partitionBy("virtual_slot").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    before = parted.groupBy("virtual_slot", "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(up_to, F.lit(0)))
+    starts = before.join(F.broadcast(maps.load(1)), "virtual_slot").withColumn("_start", F.col("offset") + F.col("_before"))
+    place = F.row_number().over(W.partitionBy("virtual_slot", "_part").orderBy("doc_id", "text_crc32", "size")) - 1
     return (
-        spread.withColumn("_place", place)
-        .join(F.broadcast(maps.load(1)), "virtual_slot")
+        parted.withColumn("_place", place)
+        .join(F.broadcast(starts.select("virtual_slot", "_part", "shard", "_start")), ["virtual_slot", "_part"])  # slots x PARTS rows at most
         .select(
             "doc_id",
             "size",
             "text_crc32",
             "shard",
-            (F.col("offset") + F.col("_place")).cast("long").alias("slot"),
+            (F.col("_start") + F.col("_place")).cast("long").alias("slot"),
             "virtual_slot",
             F.lit(1).alias("map_version"),
         )

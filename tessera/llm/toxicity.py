@@ -1,12 +1,16 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Only confirmed toxic documents (P) and documents without regard to labels (U) are learnt from.
-
-1. Words and word beginnings get an evidence: the log ratio of their document rates in P and
-   in U, less ``CAUTION`` standard errors, so rare words need a clear case.
-2. A document is a few pooled numbers of its words' evidence (largest, count and density of
-   strong ones, their sum).
-3. A logistic classifier over these is trained in numpy on other P and U documents with the
+The classifier is learnt from confirmed toxic documents (P) and documents without regard to labels
+(U); no document is ever taken as a negative example. The class prior is a parameter of such
+learning: given, or else estimated as the share of toxic rows among the usable labels, which is the
+only use of labels other than toxic.
+
+1. Words and word beginnings that are surely more frequent in P than in U (log ratio of document
+   rates less ``CAUTION`` standard errors) are the vocabulary; the excess is a word's evidence.
+2. A document is a vector of ``BUCKETS`` hashed words (the largest evidence in each bucket) and of a
+   few numbers that sum them up (largest, count and density of strong ones, their sum), from its
+   whole text.
+3. A logistic classifier over all of these is trained in numpy on other P and U documents with the
    non-negative risk  pi R_P(+) + max(0, R_U(-) - pi R_P(-)),  pi being the class prior.
 
 Fitting uses a bounded sample (``max_positive``, ``max_unlabelled`` documents of at most
@@ -16,6 +20,7 @@ Fitting uses a bounded sample (``max_positive``, ``max_unlabelled`` documents of
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -24,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._util import rows_per_batch
 from tessera.llm.labelled import SLICE, by_text, labels_of, sample, scored, sigmoid, texts_of, words_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -33,6 +37,7 @@ CAUTION = 2.0
 #: Evidence above which a word counts as strong.
 STRONG = 0.7
 LEAST_DOCS = 4
+BUCKETS, SUMMARIES = 256, 6
 
 
 def features(word: str) -> list[str]:
@@ -44,28 +49,38 @@ def features(word: str) -> list[str]:
     return out
 
 
+def _zeros() -> np.ndarray:
+    return np.zeros(SUMMARIES + BUCKETS)
+
+
 @dataclass
 class ToxicityModel:
     evidence: dict[str, float] = field(default_factory=dict)
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(6))
-    scale: np.ndarray = field(default_factory=lambda: np.ones(6))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(6))
+    mean: np.ndarray = field(default_factory=_zeros)
+    scale: np.ndarray = field(default_factory=lambda: _zeros() + 1)
+    weights: np.ndarray = field(default_factory=_zeros)
     bias: float = -40.0
 
-    def pooled(self, text: pa.Array) -> np.ndarray:
+    def vectors(self, text: pa.Array) -> np.ndarray:
+        """(texts, SUMMARIES + BUCKETS); an empty text is all zeros."""
         words, at, bounds = words_of(text)
-        get = self.evidence.get
-        per_word = np.fromiter((max((get(f, 0.0) for f in features(w)), default=0.0) for w in words.to_pylist()), float, len(words))
+        per_word, bucket = np.zeros(len(words)), np.zeros(len(words), np.int64)
+        for k, w in enumerate(words.to_pylist()):
+            best, name = max(((self.evidence.get(f, 0.0), f) for f in features(w)), default=(0.0, ""))
+            if best > 0:
+                per_word[k], bucket[k] = best, zlib.crc32(name.encode()) % BUCKETS
         e = per_word[at]
         strong = (e > STRONG).astype(float)
         n, count = np.diff(bounds), by_text(strong, bounds, np.add)
         top = by_text(e, bounds, np.maximum)
         total = by_text(e * strong, bounds, np.add)
-        return np.stack([top, np.minimum(count, 1), np.log1p(count), np.log1p(total), np.sqrt(count / np.maximum(n, 1)), np.log1p(n)], axis=1)
+        hashed, found = np.zeros((len(n), BUCKETS)), np.flatnonzero(e)
+        np.maximum.at(hashed, (np.searchsorted(bounds, found, side="right") - 1, bucket[at[found]]), e[found])
+        pooled = [top, np.minimum(count, 1), np.log1p(count), np.log1p(total), np.sqrt(count / np.maximum(n, 1)), np.log1p(n)]
+        return np.hstack([np.stack(pooled, axis=1), hashed])
 
     def score(self, text: pa.Array) -> np.ndarray:
-        x = (self.pooled(text) - self.mean) / self.scale
-        return sigmoid(x @ self.weights + self.bias)
+        return sigmoid((self.vectors(text) - self.mean) / self.scale @ self.weights + self.bias)
 
 
 def document_counts(texts: list[str]) -> Counter:
@@ -89,7 +104,7 @@ def evidence(positive: list[str], unlabelled: list[str]) -> dict[str, float]:
     return out
 
 
-def train_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def train_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05, l2: float | np.ndarray = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier; Adam on the non-negative risk with the
     logistic loss. Where the negative part turns below zero only that part is stepped back."""
     k = xp.shape[1]
@@ -103,7 +118,7 @@ def train_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 1500,
         slope_negative = xu.T @ rising_u / len(xu) - prior * (xp.T @ rising_p) / len(xp)
         slope_positive = prior * (xp.T @ (rising_p - 1)) / len(xp)
         g = slope_positive + slope_negative if negative >= 0 else -slope_negative
-        g = g + l2 * np.append(w[:-1], 0)
+        g = g + np.append(l2 * w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -114,10 +129,11 @@ def fit_texts(positive: list[str], unlabelled: list[str], prior: float) -> Toxic
     if len(positive) < 2 or len(unlabelled) < 2:
         return ToxicityModel()
     model = ToxicityModel(evidence=evidence(positive[::2], unlabelled[::2]))
-    xp, xu = (model.pooled(pa.array(t[1::2], pa.string())) for t in (positive, unlabelled))
+    xp, xu = (np.vstack([model.vectors(pa.array(t[k : k + SLICE : 2], pa.string())) for k in range(1, len(t), SLICE)]) for t in (positive, unlabelled))
     both = np.vstack([xp, xu])
-    model.mean, model.scale = both.mean(axis=0), np.maximum(both.std(axis=0), 1e-6)
-    model.weights, model.bias = train_nnpu((xp - model.mean) / model.scale, (xu - model.mean) / model.scale, prior)
+    model.mean, model.scale = both.mean(axis=0), np.maximum(both.std(axis=0), 0.05)
+    ridge = np.repeat([1e-4, 0.03], [SUMMARIES, BUCKETS])
+    model.weights, model.bias = train_nnpu((xp - model.mean) / model.scale, (xu - model.mean) / model.scale, prior, l2=ridge)
     return model
 
 
@@ -131,16 +147,17 @@ def fit(
     max_positive: int = 3000,
     max_unlabelled: int = 9000,
     max_chars: int = 50_000,
+    prior: float | None = None,
 ) -> ToxicityModel:
     """A model from the rows for which ``usable`` (over the id) holds.
 
-    The prior is the share of toxic rows among usable labels. Null or conflicting labels are
-    left out, null texts count as empty. Without positive labels or documents every score is
-    0 (the model's bias).
+    ``prior`` is the share of toxic documents; if it is not given, that of toxic rows among usable
+    labels. Null or conflicting labels and rows without an id are left out, null texts count as
+    empty, repeated rows as several documents. Without positive labels or documents every score is
+    0 (the model's bias). Other columns are not read.
     """
-    rows_per_batch(docs.sparkSession, SLICE)
     known = labels_of(labels, label, usable, id_col)
-    share = known.agg(F.avg("y")).first()[0]
+    share = prior if prior is not None else known.agg(F.avg("y")).first()[0]
     if not share:
         return ToxicityModel()
     p = sample(known.filter("y = 1").select("doc_id"), max_positive, 1)
