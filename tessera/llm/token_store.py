@@ -238,15 +238,17 @@ def manifest_of(recipes: DataFrame) -> DataFrame:
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
     """Raise unless the manifest is that of the recipes and each chunk they name is there once.
-    Returns (digest, n): how often the recipes name each chunk."""
+    Returns (digest, n, there): how often the recipes name each chunk."""
     try:
         told = spark.read.schema("part int, run long, first long, documents long, ids long, root binary").parquet(f"{path}/manifest")
         names = told.columns
         made = manifest_of(_recipes(spark, path)).select(names)
-        wrong = told.exceptAll(made).unionByName(made.exceptAll(told)).limit(3).collect()
-        uses = stored(_recipes(spark, path).select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")), "token-uses")
-        there = _chunks(spark, path).groupBy("digest").agg(F.count("*").alias("there"))
-        bad = uses.join(there, "digest", "left").filter("there is null or there > 1").limit(3).collect()
+        both = told.withColumn("k", F.lit(1)).unionByName(made.withColumn("k", F.lit(-1)))
+        wrong = both.groupBy(*names).agg(F.sum("k").alias("k")).filter("k <> 0").limit(3).collect()
+        named = _recipes(spark, path).select(F.explode("digests").alias("digest"), F.lit(1).alias("n"), F.lit(0).alias("there"))
+        there = _chunks(spark, path).select("digest", F.lit(0).alias("n"), F.lit(1).alias("there"))
+        uses = stored(named.unionByName(there).groupBy("digest").agg(F.sum("n").alias("n"), F.sum("there").alias("there")), "token-uses")
+        bad = uses.filter("there > 1 or there < 1").limit(3).collect()
     except AnalysisException as e:
         raise StoreError(f"a table of the store is missing: {e}") from e
     if wrong:
