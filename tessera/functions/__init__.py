@@ -1 +1 @@
-"""Part of the panel engine."""
+"""Column functions."""

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from tessera.operators import graph as gr
 from tessera.operators import panel as pn
+from tessera.sources import files
 from tessera.sources.adapters import SUFFIXES
 
 
@@ -138,16 +139,20 @@ def silhouette(vectors: DataFrame, dims: int) -> DataFrame:
 
 
 def leave_one_out_median(rows: DataFrame, value: str, group: str) -> DataFrame:
-    """For each row the median of its group's other values, from order statistics."""
+    """For each row the median of its group's other values. The three or four middle order
+    statistics of a group decide, so nothing of a group is gathered."""
     w = W.partitionBy(group)
-    o = rows.withColumns({"_r": F.row_number().over(w.orderBy(value, "entity")), "_n": F.count("*").over(w), "_a": F.array_sort(F.collect_list(value).over(w))})
+    o = rows.withColumns({"_r": F.row_number().over(w.orderBy(value, "entity")), "_n": F.count("*").over(w)})
     m = F.col("_n") - 1
+    low, high = F.floor((m + 1) / 2), F.floor(m / 2) + 1
 
-    def nth(k: Column) -> Column:  # k-th of the others, from 1
-        return F.get("_a", (F.when(k < F.col("_r"), k).otherwise(k + 1) - 1).cast("int"))
+    def at(k: Column) -> Column:  # the group's k-th value, from 1
+        return F.max(F.when(F.col("_r") == k, F.col(value))).over(w)
 
-    low, high = F.floor((m + 1) / 2), F.floor(m / 2) + 1
-    return o.withColumn("loo", F.when(m > 0, (nth(low) + nth(high)) / 2)).drop("_r", "_n", "_a")
+    def nth(k: Column) -> Column:  # k-th of the others
+        return F.when(k < F.col("_r"), at(k)).otherwise(at(k + 1))
+
+    return o.withColumn("loo", F.when(m > 0, (nth(low) + nth(high)) / 2)).drop("_r", "_n")
 
 
 def dtw_pairs(series: DataFrame, value: str, window: int = 3) -> DataFrame:
@@ -175,43 +180,54 @@ def dtw_pairs(series: DataFrame, value: str, window: int = 3) -> DataFrame:
     return pairs.mapInPandas(run, "i long, j long, s double")
 
 
-def kmeans(long: DataFrame, k: int, rounds: int = 10) -> DataFrame:
-    """entity, cluster: Lloyd's rounds from the k entities of smallest hash. The means are k x
-    features numbers on the driver; assignment is one pass."""
+def kmeans(long: DataFrame, k: int, starts: int = 10, seed: int = 0) -> DataFrame:
+    """entity, cluster: Lloyd's rounds until no entity changes its cluster, from ``starts`` seeded
+    draws of k entities; the start of least inertia wins (the first on ties). Clusters are numbered
+    by the size of their first standardised mean. The means are k x features numbers on the driver
+    and are the only thing gathered; assignment of all starts is one pass a round."""
     z = standardised(long)
-    v = z.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "z"))), lambda s: s["z"]).alias("v")).cache()
-    means = [r.v for r in v.orderBy(F.xxhash64("entity")).limit(k).collect()]
-
-    def nearest(means: list) -> Column:
-        d = [F.aggregate(F.zip_with("v", F.lit(m), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) for m in means]
-        return F.array_position(F.array(*d), F.least(*d)) - 1 if k > 1 else F.lit(0)
-
-    for _ in range(rounds):
-        got = v.select(nearest(means).alias("c"), F.posexplode("v").alias("f", "x")).groupBy("c", "f").agg(F.avg("x").alias("m")).orderBy("c", "f").collect()
-        fresh = {c: [r.m for r in got if r.c == c] for c in {r.c for r in got}}
-        new = [fresh.get(c, m) for c, m in enumerate(means)]
-        if np.allclose(new, means):
-            break
-        means = new
-    return v.select("entity", nearest(means).cast("int").alias("cluster"))
-
-
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component: smallest number reachable, by label spreading with pointer jumping; each
-    round is checkpointed. Stops when nothing changes."""
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    both = edges.select("i", "j").union(edges.select("j", "i")).distinct().checkpoint()
-    lab = both.groupBy(F.col("i").alias("node")).agg(F.least(F.min("j"), F.col("i")).alias("component")).checkpoint()
-    for _ in range(rounds):
+    v = files.reread(z.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "z"))), lambda s: s["z"]).alias("v")), "kmeans")
+    means = np.stack([[r.v for r in v.orderBy(F.xxhash64("entity", F.lit(seed + s)), "entity").limit(k).collect()] for s in range(starts)])
+    inertia, going = np.full(starts, np.inf), np.ones(starts, bool)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums of each start and cluster over the task's rows, with the squared distances."""
+        total = np.zeros((starts, k, means.shape[2] + 2))
+        for b in batches:
+            x = np.stack(b["v"].to_list())
+            for s in np.flatnonzero(going):
+                d = ((x[:, None, :] - means[s][None]) ** 2).sum(axis=2)
+                c = d.argmin(axis=1)
+                np.add.at(total[s], c, np.hstack([x, np.ones((len(x), 1)), d.min(axis=1)[:, None]]))
+        rows = [(s, c, total[s, c].tolist()) for s in np.flatnonzero(going) for c in range(k)]
+        yield pd.DataFrame(rows, columns=["s", "c", "t"])
+
+    while going.any():
+        sums = v.select("v").mapInPandas(run, "s int, c int, t array<double>").select("s", "c", F.posexplode("t").alias("f", "x"))
+        total = np.zeros((starts, k, means.shape[2] + 2))
+        for r in sums.groupBy("s", "c", "f").agg(F.sum("x").alias("x")).collect():
+            total[r.s, r.c, r.f] = r.x
+        for s in np.flatnonzero(going):
+            n, now = total[s, :, -2], total[s, :, -1].sum()
+            fresh = np.where(n[:, None] > 0, total[s, :, :-2] / np.maximum(n, 1)[:, None], means[s])
+            going[s] = not np.allclose(fresh, means[s], rtol=0, atol=1e-12)
+            means[s], inertia[s] = fresh, now
+    best = means[int(np.argmin(np.round(inertia, 9)))]
+    best = best[np.lexsort(best.T[::-1])]
+    d = [F.aggregate(F.zip_with("v", F.lit(m.tolist()), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) for m in best]
+    return v.select("entity", (F.array_position(F.array(*d), F.least(*d) if k > 1 else d[0]) - 1).cast("int").alias("cluster"))
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node, component: smallest number reachable, by label spreading with pointer jumping until
+    nothing changes; each round is a written table."""
+    both = files.reread(edges.select("i", "j").union(edges.select("j", "i")).distinct(), "connected-edges")
+    lab = files.reread(both.groupBy(F.col("i").alias("node")).agg(F.least(F.min("j"), F.col("i")).alias("component")), "connected")
+    while True:
         near = both.join(lab, both.j == lab.node).groupBy("i").agg(F.min("component").alias("m"))
         step = lab.join(near, lab.node == near.i, "left").select("node", F.least("component", "m").alias("component"))
         up = step.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        new = step.join(up, "component").select("node", F.least("component", "top").alias("component")).checkpoint()
-        if not new.join(lab.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count():
+        new = files.reread(step.join(up, "component").select("node", F.least("component", "top").alias("component")), "connected")
+        if new.join(lab.withColumnRenamed("component", "old"), "node").filter("component <> old").isEmpty():
             return new
         lab = new
-    return lab

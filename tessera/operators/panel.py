@@ -96,6 +96,13 @@ def impute(nodes: DataFrame, value: str, group: str) -> DataFrame:
     return out.withColumns({f"{value}_missing": F.col(value).isNull(), value: F.coalesce(value, "_g", "_a")}).drop("_g", "_a")
 
 
+def impute_scaled(nodes: DataFrame, value: str, group: str) -> DataFrame:
+    """``impute``, and z by the mean and sample deviation of the observed rows only."""
+    seen = nodes.agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    full = impute(nodes, value, group).crossJoin(F.broadcast(seen))
+    return full.withColumn("z", F.coalesce(F.try_divide(F.col(value) - F.col("_m"), F.col("_s")), F.lit(0.0))).drop("_m", "_s")
+
+
 def zscore(x: str, sample: bool = False) -> Column:
     w = W.partitionBy(F.lit(0))
     sd = (F.stddev_samp(x) if sample else F.stddev_pop(x)).over(w)

@@ -26,7 +26,7 @@ _CLR = ", ".join(f"ln(greatest(share_{s}, 1e-4)) - {_LOGS} AS clr_{s}" for s in
 _ARGMAX = "list_position([" + ", ".join(f"val_{s}" for s in SUFFIXES) + "], greatest(" + ", ".join(f"val_{s}" for s in SUFFIXES) + ")) - 1"
 _MAXVAL = "greatest(" + ", ".join(f"val_{s}" for s in SUFFIXES) + ")"
 BASE = f"""
-WITH pl AS (SELECT l_suppkey AS entity, strftime(l_shipdate, '%Y-%m') AS month, {_CASE} AS part, sum(l_extendedprice) AS value
+WITH RECURSIVE pl AS (SELECT l_suppkey AS entity, strftime(l_shipdate, '%Y-%m') AS month, {_CASE} AS part, sum(l_extendedprice) AS value
   FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '1998-01-01' GROUP BY 1, 2, 3),
 pw AS (SELECT entity, month, {_SUMS}, sum(value) AS val_all,
   (CAST(substr(month, 1, 4) AS INT) - 1996) * 12 + CAST(substr(month, 6, 2) AS INT) - 1 AS month_idx FROM pl GROUP BY 1, 2),
@@ -131,8 +131,8 @@ add("pn7_node_features", lambda s, d: pn.node_features(ad.panel_wide(s, d)),
     + ", ".join(f"round(avg(clr_{x}), 6) AS clr_{x}_mean, round(max_by(clr_{x}, month_idx) - min_by(clr_{x}, month_idx), 6) AS clr_{x}_delta" for x in SUFFIXES) + " FROM clc JOIN (SELECT entity, month_idx, log_all, yoy_all FROM se) USING (entity, month_idx) GROUP BY 1")
 add("pn8_amplitude", lambda s, d: pn.amplitude(ad.panel_wide(s, d)),
     "SELECT entity, round(dec_amp, 6) AS dec_amp, round(summer_amp, 6) AS summer_amp, round(season_sd, 6) AS season_sd FROM (SELECT entity, avg(d) dec_amp, avg(m) summer_amp FROM (SELECT entity, month_idx // 12 y, avg(val_all) FILTER (WHERE month_idx % 12 = 11) / avg(val_all) FILTER (WHERE month_idx % 12 < 11) d, avg(val_all) FILTER (WHERE month_idx % 12 IN (6, 7)) / avg(val_all) m FROM co GROUP BY 1, 2) GROUP BY 1) JOIN (SELECT entity, stddev_pop(m) / avg(m) season_sd FROM (SELECT entity, month_idx % 12 c, avg(val_all) m FROM co GROUP BY 1, 2) GROUP BY 1) USING (entity)")
-add("pn10_impute_z", lambda s, d: (lambda n: pn.impute(n, "v", "region_code").withColumn("z", pn.zscore("v")))(ad.nodes(s, d).select("entity", "region_code", F.when(F.col("account") > 0, F.log10("account")).alias("v"))).select("entity", "v_missing", "v", "z"),
-    "SELECT entity, v_missing, round(v, 6) AS v, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 6) AS z FROM (SELECT entity, v0 IS NULL AS v_missing, coalesce(v0, median(v0) OVER (PARTITION BY region_code), median(v0) OVER ()) AS v FROM (SELECT entity, region_code, CASE WHEN account > 0 THEN log10(account) END AS v0 FROM nd))")
+add("pn10_impute_z", lambda s, d: pn.impute_scaled(ad.nodes(s, d).select("entity", "region_code", F.when(F.col("account") > 0, F.log10("account")).alias("v")), "v", "region_code").select("entity", "v_missing", "v", "z"),
+    ", v0 AS (SELECT entity, region_code, CASE WHEN account > 0 THEN log10(account) END AS v0 FROM nd), v1 AS (SELECT entity, v0 IS NULL AS v_missing, coalesce(v0, median(v0) OVER (PARTITION BY region_code), median(v0) OVER ()) AS v FROM v0) SELECT entity, v_missing, round(v, 6) AS v, round((v - m) / sd, 6) AS z FROM v1, (SELECT avg(v0) AS m, stddev_samp(v0) AS sd FROM v0)")
 add("pn15_month_grid", lambda s, d: pn.month_grid(s, "1996-01", "1997-12"), "SELECT strftime(g, '%Y-%m') AS month FROM generate_series(DATE '1996-01-01', DATE '1997-12-01', INTERVAL 1 MONTH) t(g)")
 _HAV = "2 * 6371.0088 * asin(sqrt(least(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1.0)))"
 add("pn16_haversine", lambda s, d: (lambda c: c.alias("a").join(c.alias("b"), (F.col("b.entity") == F.col("a.entity") + 1)).select(F.col("a.entity").alias("entity"), pn.haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")).alias("km")))(ad.coords(s, d)), f"SELECT a.entity, round({_HAV}, 6) AS km FROM xy a JOIN xy b ON b.entity = a.entity + 1")

@@ -22,7 +22,7 @@ add("x3_share_cosine", lambda s, d: ms.share_cosine(ad.panel_wide(s, d)), f", mv
 add("m5_aitchison", lambda s, d: ms.aitchison(ad.panel_wide(s, d)), f", mv AS (SELECT entity, {_mean('clr')} FROM clc GROUP BY 1) SELECT a.entity AS i, b.entity AS j, round(-sqrt(" + " + ".join(f"pow(a.{x} - b.{x}, 2)" for x in SUFFIXES) + "), 6) AS s FROM mv a JOIN mv b ON a.entity < b.entity")
 _LAG = ", lg AS (SELECT a.entity AS i, b.entity AS j, k AS lag, corr(a.resid, b.resid) AS r FROM gw a JOIN gw b ON a.entity < b.entity JOIN (SELECT unnest(generate_series(-3, 3)) AS k) ON b.month_idx = a.month_idx - k GROUP BY 1, 2, 3), bl AS (SELECT i, j, round(abs(r), 6) AS r FROM lg QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY abs(r) DESC, abs(lag), lag) = 1)"
 add("m4_best_lag", lambda s, d: ms.lagged(pn.growth(ad.panel_wide(s, d))).select("i", "j", F.abs("r").alias("r")), f"{_LAG} SELECT * FROM bl")
-add("m6_dtw", lambda s, d: ms.dtw_pairs(pn.core(ad.panel_wide(s, d)), "val_all"))
+add("m6_dtw", lambda s, d: ms.dtw_pairs(pn.seasonal(pn.core(ad.panel_wide(s, d))), "log_all"))
 _DIST = f", ds AS (SELECT a.entity AS i, b.entity AS j, {_HAV} AS km FROM xy a JOIN xy b ON a.entity < b.entity), db AS (SELECT i, j, km FROM ds UNION ALL SELECT j, i, km FROM ds), nn AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY km, j) AS rank FROM db QUALIFY row_number() OVER (PARTITION BY i ORDER BY km, j) <= 3), ge AS (SELECT least(i, j) AS i, greatest(i, j) AS j, min(km) AS km FROM nn GROUP BY 1, 2)"
 _xy = ad.coords
 add("pn12_nearest_neighbours", lambda s, d: ms.nearest_by_distance(_xy(s, d)), f"{_DIST} SELECT i, j, {R('km')}, rank FROM nn")
@@ -38,13 +38,13 @@ add("gr7_edge_audit", lambda s, d: _tested(s, d).select("i", "j", "r", "p", (F.c
 add("ms4_similarity_stats", lambda s, d: _pairs(s, d).agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("sd")), "SELECT round(avg(r), 6) AS m, round(stddev_pop(r), 6) AS sd FROM pr")
 add("ll4_empirical_p", lambda s, d: (lambda p: p.withColumn("pe", (1 + F.count("*").over(W.orderBy(F.col("r").desc()).rangeBetween(W.unboundedPreceding, 0))) / (1 + F.count("*").over(W.partitionBy(F.lit(0))))))(_pairs(s, d)).select("i", "j", "pe"), "SELECT i, j, round((1 + count(*) OVER (ORDER BY r DESC RANGE UNBOUNDED PRECEDING)) / (1 + count(*) OVER ()), 6) AS pe FROM pr")
 
-_VL = ", vl AS (SELECT vec_id AS entity, label, f - 1 AS f, CAST(embedding[f] AS DOUBLE) AS x FROM embeddings, (SELECT CAST(unnest(generate_series(1, 8)) AS INT) AS f)), vc AS (SELECT *, x - avg(x) OVER (PARTITION BY f) AS c FROM vl), mk AS (SELECT label, f, count(*) * pow(avg(c), 2) AS b FROM vc GROUP BY 1, 2)"
-_long = lambda s, d: ms.vectors_long(table(s, d, "embeddings"), 8)
+_VL = ", vl AS (SELECT vec_id AS entity, label, f - 1 AS f, CAST(embedding[f] AS DOUBLE) AS x FROM embeddings, (SELECT CAST(unnest(generate_series(1, 64)) AS INT) AS f)), vc AS (SELECT *, x - avg(x) OVER (PARTITION BY f) AS c FROM vl), mk AS (SELECT label, f, count(*) * pow(avg(c), 2) AS b FROM vc GROUP BY 1, 2)"
+_long = lambda s, d: ms.vectors_long(table(s, d, "embeddings"), 64)
 add("cl4_feature_matrix", lambda s, d: ms.standardised(_long(s, d)).select("entity", "f", "z"), f"{_VL} SELECT entity, f, round(c / stddev_pop(x) OVER (PARTITION BY f), 6) AS z FROM vc")
 add("cl5_kmeans", lambda s, d: ms.kmeans(_long(s, d), 4))
 add("in1_mirkin", lambda s, d: ms.mirkin(_long(s, d)), f"{_VL} SELECT label, f, {R('b')}, round(b / t, 6) AS rel FROM mk JOIN (SELECT f, sum(c * c) AS t FROM vc GROUP BY 1) USING (f)")
 add("ic2_calinski", lambda s, d: ms.calinski(_long(s, d)), f"{_VL} SELECT round(b / (k - 1) / ((t - b) / (n - k)) / n, 6) AS ch_over_n FROM (SELECT sum(b) AS b FROM mk), (SELECT sum(c * c) AS t, count(DISTINCT entity) AS n, count(DISTINCT label) AS k FROM vc)")
-add("ic1_silhouette", lambda s, d: ms.silhouette(table(s, d, "embeddings"), 8), f"{_VL}, dd AS (SELECT a.entity AS i, a.label AS own, b.label AS other, sqrt(sum(pow(a.x - b.x, 2))) AS d FROM vl a JOIN vl b ON a.f = b.f AND a.entity <> b.entity GROUP BY a.entity, b.entity, 2, 3), sl AS (SELECT i, min(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b FROM (SELECT i, own, other, avg(d) AS d FROM dd GROUP BY 1, 2, 3) GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM sl")
+add("ic1_silhouette", lambda s, d: ms.silhouette(table(s, d, "embeddings"), 64), f"{_VL}, dd AS (SELECT a.entity AS i, a.label AS own, b.label AS other, sqrt(sum(pow(a.x - b.x, 2))) AS d FROM vl a JOIN vl b ON a.f = b.f AND a.entity <> b.entity GROUP BY a.entity, b.entity, 2, 3), sl AS (SELECT i, min(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b FROM (SELECT i, own, other, avg(d) AS d FROM dd GROUP BY 1, 2, 3) GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM sl")
 add("wn13_loo_median", lambda s, d: ms.leave_one_out_median(ad.nodes(s, d).select("entity", "region_code", "account"), "account", "region_code").select("entity", "loo"), "SELECT a.entity, round(median(b.account), 6) AS loo FROM nd a LEFT JOIN nd b ON b.region_code = a.region_code AND b.entity <> a.entity GROUP BY 1")
 
 _EV = f", sm AS (SELECT entity, month_idx, CASE WHEN lag(type_id) {_LW} = lead(type_id) {_LW} THEN lag(type_id) {_LW} ELSE type_id END AS k, seed_agreement FROM lb), ev AS (SELECT entity, month_idx, lag(k) {_LW} AS type_from, k AS type_to, seed_agreement, lag(seed_agreement) {_LW} AS before FROM sm)"
