@@ -120,3 +120,59 @@ def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
         F.try_divide(F.col("s") - expected, (F.col("sa") + F.col("sb")) / 2 - expected).alias("ari"),
         F.try_divide(mutual, (ha + hb) / 2).alias("nmi"),
     )
+
+
+def layered(layers: dict[int, DataFrame]) -> DataFrame:
+    """i, j, mask: the bits of the layers that have an edge."""
+    every = None
+    for bit, edges in layers.items():
+        one = undirected(edges).withColumn("bit", F.lit(bit))
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("i", "j").agg(F.bit_or("bit").alias("mask"))
+
+
+def topology(nodes: DataFrame, edges: DataFrame, parts: DataFrame, regions: DataFrame) -> DataFrame:
+    """nodes, edges, mean_degree, isolates, giant (share in the largest component), within (share of
+    edges inside a region)."""
+    a, b = (regions.select(F.col("entity").alias(k), F.col("region_name").alias(f"r_{k}")) for k in ("i", "j"))
+    m = edges.join(a, "i").join(b, "j").agg(F.count("*").alias("edges"), F.avg((F.col("r_i") == F.col("r_j")).cast("double")).alias("within"))
+    sizes = parts.groupBy("component").agg(F.count("*").alias("c")).agg(F.max("c").alias("top"), F.sum("c").alias("linked"))
+    n = F.col("nodes")
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(m).crossJoin(sizes).select(
+        "nodes", "edges", (2 * F.col("edges") / n).alias("mean_degree"), (n - F.coalesce("linked", F.lit(0))).alias("isolates"), (F.coalesce("top", F.lit(0)) / n).alias("giant"), "within"
+    )
+
+
+def nonnegative(edges: DataFrame) -> DataFrame:
+    """Weights clipped at zero if any is positive, else less the smallest."""
+    ends = edges.agg(F.max("w").alias("_hi"), F.min("w").alias("_lo"))
+    w = F.when(F.col("_hi") > 0, F.greatest("w", F.lit(0.0))).otherwise(F.col("w") - F.col("_lo"))
+    return edges.crossJoin(F.broadcast(ends)).select("i", "j", w.alias("w"))
+
+
+def nearest_graph(pairs: DataFrame, k: int) -> DataFrame:
+    """The union of the k nearest of each node, weights not negative."""
+    return nonnegative(pairs.join(undirected(nearest(pairs, "r", k)), ["i", "j"]).withColumnRenamed("r", "w"))
+
+
+def perturbed(edges: DataFrame, absent: DataFrame, share: float, seed: int) -> DataFrame:
+    """``edges`` without a share of them and with as many of the ``absent`` pairs at the median
+    weight; which ones, a hash of pair and seed decides."""
+    key = F.md5(F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string"), F.lit(str(seed))))
+    n, middle = edges.agg(F.floor(F.count("*") * share).cast("int"), F.median("w")).first()
+    gone = edges.orderBy(key).limit(n).select("i", "j")
+    added = absent.orderBy(key).limit(n).select("i", "j", F.lit(middle).alias("w"))
+    return edges.join(gone, ["i", "j"], "left_anti").unionByName(added)
+
+
+def edge_jaccard(sets: dict[str, DataFrame]) -> DataFrame:
+    """a, b, jaccard of named edge sets, from one pass over each."""
+    every = None
+    for name, edges in sets.items():
+        one = edges.select("i", "j", F.lit(name).alias("m"))
+        every = one if every is None else every.unionByName(one)
+    held = every.groupBy("i", "j").agg(F.array_sort(F.collect_set("m")).alias("ms"))
+    both = held.select(F.explode("ms").alias("a"), "ms").select("a", F.explode("ms").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    sizes = both.filter("a = b").select(F.col("a").alias("k"), F.col("n").alias("size"))
+    x, y = sizes.withColumnsRenamed({"k": "a", "size": "na"}), sizes.withColumnsRenamed({"k": "b", "size": "nb"})
+    return both.join(F.broadcast(x), "a").join(F.broadcast(y), "b").select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard"))

@@ -231,3 +231,42 @@ def connected(edges: DataFrame) -> DataFrame:
         if new.join(lab.withColumnRenamed("component", "old"), "node").filter("component <> old").isEmpty():
             return new
         lab = new
+
+
+def category_mean(panel: DataFrame, parts: list[str], floor: float = 1.0) -> DataFrame:
+    """i, j, s: mean by Fisher's z of the parts' correlations of adjusted, demeaned growth; a
+    constant series has correlation 0."""
+    p, out = pn.core(panel), None
+    by, cal = W.partitionBy("entity").orderBy("month_idx"), W.partitionBy("entity", F.col("month_idx") % 12)
+    for x in parts:
+        log = F.log(F.greatest(F.col(f"val_{x}"), F.lit(floor)))
+        g = p.select("entity", "month_idx", (log - F.avg(log).over(cal)).alias("sa")).withColumn("g", F.col("sa") - F.lag("sa").over(by)).filter("g is not null")
+        mean = g.groupBy("month_idx").agg(F.avg("g").alias("m"))
+        e = g.join(F.broadcast(mean), "month_idx").select("entity", "month_idx", (F.col("g") - F.col("m")).alias("e"))
+        some = e.join(e.groupBy("entity").agg(F.stddev_pop("e").alias("sd")).filter("sd > 1e-9").select("entity"), "entity", "left_semi")
+        r = gr.correlations(some, "e")
+        one = block_pairs(p.select("entity").distinct(), []).join(r, ["i", "j"], "left").select("i", "j", F.coalesce("r", F.lit(0.0)).alias("r"))
+        out = one if out is None else out.unionByName(one)
+    z = F.atanh(F.greatest(F.least("r", F.lit(0.999999)), F.lit(-0.999999)))
+    return out.groupBy("i", "j").agg(F.tanh(F.avg(z)).alias("s"))
+
+
+def percentile_rank(rows: DataFrame, value: str, name: str, digits: int = 9) -> DataFrame:
+    """Average rank from 0 to 1 of a column, ties (to ``digits`` places) sharing one. Ranks come
+    from counts of distinct values, numbered over range partitions."""
+    v = F.round(value, digits)
+    counts = files.reread(rows.groupBy(v.alias("_v")).agg(F.count("*").alias("_c")), "rank-counts")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.reread(counts.repartitionByRange(parts, "_v").withColumn("_part", F.spark_partition_id()), "rank-parts")
+    sums = dealt.groupBy("_part").agg(F.sum("_c").alias("_n"))
+    starts = sums.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_n").over(W.partitionBy(F.lit(0))).alias("_all"))  # a row per part
+    up = F.sum("_c").over(W.partitionBy("_part").orderBy("_v").rowsBetween(W.unboundedPreceding, -1))
+    ranks = dealt.withColumn("_up", F.coalesce(up, F.lit(0))).join(F.broadcast(starts), "_part")
+    ranks = ranks.select("_v", ((F.col("_b") + F.col("_up") + (F.col("_c") - 1) / 2) / (F.col("_all") - 1)).alias(name))
+    return rows.withColumn("_v", v).join(ranks, "_v").drop("_v")
+
+
+def blended(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
+    """i, j, s: ``share`` of the percentile rank in a and the rest of that in b."""
+    both = percentile_rank(a, "s", "_a").drop("s").join(percentile_rank(b, "s", "_b").drop("s"), ["i", "j"])
+    return both.select("i", "j", (share * F.col("_a") + (1 - share) * F.col("_b")).alias("s"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.sources import files
 from tessera.sources.adapters import MONTHS, SUFFIXES
 
 CLIP = 1e-4
@@ -130,3 +131,63 @@ def rolling(panel: DataFrame, value: str, n: int = 6) -> DataFrame:
     sse = F.greatest(syy - slope * sxy, F.lit(0.0))
     t = F.when(sse < 1e-12, 0.0).otherwise(slope / F.sqrt(sse / (n - 2) / sxx))
     return panel.withColumns({"slope": F.when(full, slope), "t": F.when(full, t), "vol": F.when(full, F.stddev_pop(value).over(w))})
+
+
+def left_one(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join that fails if ``table`` has a key twice."""
+    if not table.groupBy(key).count().filter("count > 1").isEmpty():
+        raise ValueError(f"{key} is not unique")
+    return rows.join(table, key, "left")
+
+
+def nearest_known(points: DataFrame, known: DataFrame) -> DataFrame:
+    """entity, nearest, km: for each point the closest known one (the smallest id on ties). The
+    points are the few that have no match of their own; the known ones are dealt in blocks."""
+    k = known.select(F.col("entity").alias("nearest"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    far = points.crossJoin(k).withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
+    best = far.groupBy("entity").agg(F.min(F.struct("km", "nearest")).alias("b"))
+    return best.select("entity", "b.nearest", "b.km")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows in a total order with their place from 1: a range partition sorts in parts, whose sizes
+    give the first place of each part."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.reread(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ordered")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per part
+    starts = F.broadcast(sizes.select("_part", before.alias("_before")))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_place", place).join(starts, "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_before", "_place")
+
+
+def aligned(panel: DataFrame, value: str, months: int = MONTHS) -> DataFrame:
+    """entity, m0, m1, ...: one column a month; an entity with a missing month is an error."""
+    wide = panel.groupBy("entity").pivot("month_idx", list(range(months))).agg(F.first(value))
+    if not wide.filter(" or ".join(f"`{k}` is null" for k in range(months))).isEmpty():
+        raise ValueError("series are not complete")
+    return wide.withColumnsRenamed({str(k): f"m{k}" for k in range(months)})
+
+
+def placed(points: DataFrame, group: str, lat: float, lon: float) -> DataFrame:
+    """Coordinates with gaps filled by the group's median, else by a fixed point."""
+    mid = points.groupBy(group).agg(F.median("lat").alias("_lat"), F.median("lon").alias("_lon"))
+    out = points.join(mid, group, "left").withColumn("filled", F.col("lat").isNull())
+    return out.withColumns({"lat": F.coalesce("lat", "_lat", F.lit(lat)), "lon": F.coalesce("lon", "_lon", F.lit(lon))}).drop("_lat", "_lon")
+
+
+def first_year(totals: DataFrame, preference: list[int]) -> DataFrame:
+    """k, v: the value of the first year of ``preference`` that has a positive one."""
+    rank = F.array_position(F.array(*map(F.lit, preference)), F.col("y"))
+    return totals.filter((rank > 0) & (F.col("v") > 0)).groupBy("k").agg(F.min_by("v", rank).alias("v"))
+
+
+def cascade(a: DataFrame, b: DataFrame, rules: list) -> DataFrame:
+    """a, b, how: for each a the first rule (from 1) whose form of the name some b shares, then the
+    smallest b."""
+    found = None
+    for n, rule in enumerate(rules, 1):
+        one = a.select("a", rule(F.col("name")).alias("_n")).join(b.select("b", rule(F.col("name")).alias("_n")), "_n").select("a", "b", F.lit(n).alias("how"))
+        one = one.groupBy("a").agg(F.min(F.struct("how", "b")).alias("m"))
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("a").agg(F.min("m").alias("m")).select("a", "m.b", "m.how")
