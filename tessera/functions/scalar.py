@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Central meridian, latitude of origin and standard parallels of the map.
 ALBERS = {"lon0": 105.0, "lat0": 56.0, "lat1": 52.0, "lat2": 64.0}
@@ -23,7 +24,7 @@ def albers(lon: Column, lat: Column, lon0: float, lat0: float, lat1: float, lat2
     return rho * F.sin(turn), origin - rho * F.cos(turn)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility-composed form; Spark has no such function."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators import ranks
 from tessera.operators.cluster import assignment
 
 
@@ -99,11 +100,9 @@ def beta(series: DataFrame, value: str) -> DataFrame:
 
 def kruskal(rows: DataFrame, value: str, group: str) -> DataFrame:
     """H with tie correction, and eta squared."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("t"))
-    w = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranks = counts.withColumn("rank", F.sum("t").over(w) - (F.col("t") - 1) / 2)
-    tie = ranks.agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"), F.sum("t").cast("double").alias("n"))
-    per = rows.join(ranks, value).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("m"))
+    table = ranks.cumulative(rows, value, "_v").select("_v", F.col("c").alias("t"), (F.col("up") - (F.col("c") - 1) / 2).alias("rank"))
+    tie = table.agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"), F.sum("t").cast("double").alias("n"))
+    per = rows.join(table, F.col(value) == F.col("_v")).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("m"))
     s = per.agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.count("*").alias("k")).crossJoin(tie)
     n = F.col("n")
     h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (F.pow(n, 3) - n))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators import ranks
+from tessera.sources import files
+
 
 def standardised(series: DataFrame, value: str) -> DataFrame:
     """entity, z: the series less its mean over its population deviation, as an array."""
@@ -15,15 +20,32 @@ def standardised(series: DataFrame, value: str) -> DataFrame:
     return z.groupBy("entity").agg(F.transform(ordered, lambda s: s["_z"]).alias("z"))
 
 
-def correlations(series: DataFrame, value: str, blocks: int = 16) -> DataFrame:
-    """(i, j, r) for i < j. Entities are dealt into blocks; each pair of blocks is one equi-join
-    key, so no side is broadcast and work is spread evenly."""
-    z = standardised(series, value).withColumn("b", F.pmod(F.hash("entity"), F.lit(blocks)))
+#: Series in a block of the pair matrix.
+BLOCK = 512
+
+
+def correlations(series: DataFrame, value: str) -> DataFrame:
+    """(i, j, r) for i < j; null where a series is constant. Entities are dealt into blocks of some
+    ``BLOCK``; each pair of blocks is one group and one matrix product, so a task holds two blocks
+    whatever the number of entities, and nothing is broadcast."""
+    z = files.reread(standardised(series, value), "standardised")
+    blocks = max(1, -(-z.count() // BLOCK))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = z.select(F.col("entity").alias("i"), F.col("z").alias("zi"), F.col("b").alias("p"), F.explode(every).alias("q"))
-    right = z.select(F.col("entity").alias("j"), F.col("z").alias("zj"), F.explode(every).alias("p"), F.col("b").alias("q"))
-    dot = F.aggregate(F.zip_with("zi", "zj", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    return left.join(right, ["p", "q"]).filter("i < j").select("i", "j", (dot / F.size("zi")).alias("r"))
+    dealt = z.withColumn("b", F.pmod(F.hash("entity"), F.lit(blocks))).withColumn("o", F.explode(every))
+    dealt = dealt.select("entity", "z", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+
+    def product(rows: pd.DataFrame) -> pd.DataFrame:
+        p, q = rows["p"].iloc[0], rows["q"].iloc[0]
+        x, y = rows[rows["b"] == p], rows[rows["b"] == q]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"i": [], "j": [], "r": []}).astype({"i": "int64", "j": "int64", "r": "float64"})
+        a, b = (np.stack([np.asarray(v, float) for v in t["z"]]) for t in (x, y))
+        r, i, j = a @ b.T / a.shape[1], x["entity"].to_numpy()[:, None], y["entity"].to_numpy()[None, :]
+        keep = (i < j) if p == q else (i != j)
+        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "r": r[keep]})
+
+    pairs = dealt.groupBy("p", "q").applyInPandas(product, "i long, j long, r double")
+    return pairs.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
 def t_pvalue(r: Column, df: int) -> Column:
@@ -40,14 +62,11 @@ def t_pvalue(r: Column, df: int) -> Column:
 
 
 def bh(pairs: DataFrame, p: str = "p") -> DataFrame:
-    """Benjamini-Hochberg q values. Ranks come from a range-sorted layout with per-part offsets
-    in a window over distinct p values."""
-    counts = pairs.groupBy(p).agg(F.count("*").alias("n"))
-    up = W.orderBy(p).rowsBetween(W.unboundedPreceding, 0)
-    ranked = counts.withColumn("rank", F.sum("n").over(up)).withColumn("m", F.sum("n").over(W.partitionBy(F.lit(0))))
-    down = W.orderBy(F.col(p).desc()).rowsBetween(W.unboundedPreceding, 0)
-    q = ranked.withColumn("q", F.least(F.min(F.col(p) * F.col("m") / F.col("rank")).over(down), F.lit(1.0)))
-    return pairs.join(q.select(p, "q"), p)
+    """Benjamini-Hochberg q values: step-up over distinct p values, which are ranked in range
+    partitions with an offset for each."""
+    table = ranks.cumulative(pairs, p, "_p").withColumn("_raw", F.col("_p") * F.col("n") / F.col("up"))
+    q = ranks.later_min(table, "_raw", "_p", "_q").select("_p", F.least("_q", F.lit(1.0)).alias("q"))
+    return pairs.join(q, F.col(p) == F.col("_p")).drop("_p")
 
 
 def both_ways(pairs: DataFrame, value: str) -> DataFrame:
@@ -66,6 +85,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def similarity_edges(pairs: DataFrame, k: int = 10, safety: int = 3, q: float = 0.05) -> DataFrame:
     """(union of k nearest and significant) and each node's few best."""
+    pairs = files.reread(pairs, "tested-pairs")
     e1 = undirected(nearest(pairs.withColumn("s", F.greatest("r", F.lit(0.0))), "s", k))
     e2 = pairs.filter((F.col("q") <= q)).select("i", "j")
     e3 = undirected(nearest(pairs, "r", safety))

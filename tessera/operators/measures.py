@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from tessera.operators import graph as gr
 from tessera.operators import panel as pn
+from tessera.operators import ranks
 from tessera.sources import files
 from tessera.sources.adapters import SUFFIXES
 
@@ -252,18 +253,10 @@ def category_mean(panel: DataFrame, parts: list[str], floor: float = 1.0) -> Dat
 
 
 def percentile_rank(rows: DataFrame, value: str, name: str, digits: int = 9) -> DataFrame:
-    """Average rank from 0 to 1 of a column, ties (to ``digits`` places) sharing one. Ranks come
-    from counts of distinct values, numbered over range partitions."""
-    v = F.round(value, digits)
-    counts = files.reread(rows.groupBy(v.alias("_v")).agg(F.count("*").alias("_c")), "rank-counts")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = files.reread(counts.repartitionByRange(parts, "_v").withColumn("_part", F.spark_partition_id()), "rank-parts")
-    sums = dealt.groupBy("_part").agg(F.sum("_c").alias("_n"))
-    starts = sums.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_n").over(W.partitionBy(F.lit(0))).alias("_all"))  # a row per part
-    up = F.sum("_c").over(W.partitionBy("_part").orderBy("_v").rowsBetween(W.unboundedPreceding, -1))
-    ranks = dealt.withColumn("_up", F.coalesce(up, F.lit(0))).join(F.broadcast(starts), "_part")
-    ranks = ranks.select("_v", ((F.col("_b") + F.col("_up") + (F.col("_c") - 1) / 2) / (F.col("_all") - 1)).alias(name))
-    return rows.withColumn("_v", v).join(ranks, "_v").drop("_v")
+    """Average rank from 0 to 1 of a column, ties (to ``digits`` places) sharing one."""
+    table = ranks.cumulative(rows, F.round(value, digits), "_v")
+    rank = (F.col("up") - (F.col("c") + 1) / 2) / (F.col("n") - 1)
+    return rows.withColumn("_v", F.round(value, digits)).join(table.select("_v", rank.alias(name)), "_v").drop("_v")
 
 
 def blended(a: DataFrame, b: DataFrame, share: float) -> DataFrame:

@@ -12,6 +12,7 @@ from tessera.operators import dynamics as dy
 from tessera.operators import graph as gr
 from tessera.operators import panel as pn
 from tessera.sources import adapters as ad
+from tessera.sources import files
 from tessera.sources.adapters import SUFFIXES, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +67,7 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tested(s: SparkSession, d: str) -> DataFrame:
-    return gr.bh(_pairs(s, d).withColumn("p", gr.t_pvalue(F.col("r"), 21)))
+    return gr.bh(files.reread(_pairs(s, d).withColumn("p", gr.t_pvalue(F.col("r"), 21)), "pairs"))
 
 
 def _label(s: SparkSession, d: str) -> DataFrame:
