@@ -75,6 +75,16 @@ def join_spread(rows: DataFrame, table: DataFrame, key: str, spread: Column, cou
     return left.drop("_tasks", "_spread").join(right.drop("_tasks"), [key, "_salt"]).drop("_salt")
 
 
+#: Rows that Spark sends to a Python worker at once: one value for all queries and stages.
+BATCH = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ``BATCH`` rows. Applications (queries, pipeline stages) call
+    this; operators never change the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts in ``column`` have about ``most_bytes`` at most; a longer text is
     a part of its own."""

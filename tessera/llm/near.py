@@ -76,12 +76,13 @@ def _majorities(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out, size = np.zeros((len(bounds) - 1, WORDS), np.uint64), np.diff(bounds)
     full = np.flatnonzero(size)
     for j in range(WORDS if len(full) else 0):
-        ones = np.zeros((len(full), 64), np.int64)
-        for k in range(0, len(full), 256):
-            some = full[k : k + 256]
-            lo, hi = bounds[some[0]], bounds[some[-1] + 1]
-            bits = np.unpackbits(_mixed(h[lo:hi], j + 1).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[k : k + 256] = np.add.reduceat(bits, bounds[some] - lo, axis=0, dtype=np.int64)
+        ones, k = np.zeros((len(full), 64), np.int32), 0
+        while k < len(full):  # about 100,000 hashes at a time
+            lo = bounds[full[k]]
+            stop = max(k + 1, int(np.searchsorted(bounds[full + 1], lo + 100_000, side="right")))
+            bits = np.unpackbits(_mixed(h[lo : bounds[full[stop - 1] + 1]], j + 1).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[k:stop] = np.add.reduceat(bits, bounds[full[k:stop]] - lo, axis=0, dtype=np.int32)
+            k = stop
         out[full, j] = np.packbits(ones * 2 > size[full, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
@@ -93,7 +94,7 @@ def _rarity(texts: DataFrame, shingle: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << CELLS, np.int64)
         for b in batches:
-            for part in slices(b, 0):
+            for part in slices(b, 0, 1 << 20):
                 n += np.bincount((shingle_sets(part.column(0), shingle)[0] >> np.uint64(64 - CELLS)).astype(np.int64), minlength=len(n))
         give_back()
         full = np.flatnonzero(n)
@@ -201,7 +202,7 @@ def drop_near(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, 2):
+            for part in slices(b, 2, 1 << 20):
                 h, bounds = shingle_sets(part.column(2), shingle)
                 fp = np.ascontiguousarray(_majorities(h, bounds).astype("<u8"))
                 sets = [h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -211,15 +212,15 @@ def drop_near(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
                 flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
                 listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(same, pa.binary()), pa.array(np.diff(bounds)), packed, listed], ["doc_id", "raw", "same", "n", "fp", "keys"])
-        give_back()
+            give_back()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, 3):
+            for part in slices(b, 3, 1 << 20):
                 h, bounds = shingle_sets(part.column(3), shingle)
                 raw = [h[x:y].astype("<u8").tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(raw, pa.binary())], ["component", "node", "n", "set"])
-        give_back()
+            give_back()
 
     text = text_or_empty(text_col)
     keys = {"doc_id": F.col(id_col).cast("long"), "raw": F.unhex(F.md5(text.cast("binary")))}

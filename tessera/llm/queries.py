@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, exact_dedup, labelled, line_dedup, quality, secrets, sharding, simhash, token_store, toxicity
-from tessera.llm._util import work_dir
+from tessera.llm._util import small_batches, work_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
