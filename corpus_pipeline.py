@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, exact_dedup, near, toxicity
-from tessera.llm._util import free_name, stored
+from tessera.llm._util import free_name, small_batches, stored
 
 #: Stages 1 to 4 need the documents' columns doc_id and text; others may be there or not.
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity of 0.5 or more go. The model learns from all labels; documents
-    with null text score like empty ones."""
+    """Documents with a toxicity of 0.5 or more go. The model learns from all labels; null texts
+    score like empty ones, rows without an id and repeated rows like any other. Without toxic labels
+    all stay; an empty table gives an empty result."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, F.lit(True))
     score = free_name(docs, "_toxicity")
@@ -32,11 +34,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five words, similarity 0.8 or more."""
+    small_batches(spark)
     return near.drop_near(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, verbatim or paraphrased, go."""
+    """Documents that hold a benchmark item, verbatim or paraphrased, go. Null and empty texts hold
+    none; repeated rows go or stay together; an empty benchmark or table changes nothing."""
+    small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.drop_contaminated(docs, decontaminate.searchers(docs, benchmark))
 
@@ -45,6 +50,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the text decoded from them."""
     import public_tokenizers
 
+    small_batches(spark)
     path = public_tokenizers.path(TOKENIZER)
     return bpe.decode(bpe.encode(docs, path), path)
 
