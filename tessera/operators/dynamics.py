@@ -93,8 +93,9 @@ def sigma_trend(series: DataFrame, value: str) -> DataFrame:
 
 
 def beta(series: DataFrame, value: str) -> DataFrame:
-    """Slope of growth on the initial level."""
-    g = series.groupBy("entity").agg(F.min_by(value, "month_idx").alias("x0"), (F.max_by(value, "month_idx") - F.min_by(value, "month_idx")).alias("d"))
+    """Slope of monthly growth on the initial level."""
+    months = F.max("month_idx") - F.min("month_idx")
+    g = series.groupBy("entity").agg(F.min_by(value, "month_idx").alias("x0"), ((F.max_by(value, "month_idx") - F.min_by(value, "month_idx")) / months).alias("d"))
     return g.agg(F.regr_slope("d", "x0").alias("beta"), F.count("*").alias("n"))
 
 

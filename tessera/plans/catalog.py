@@ -185,7 +185,7 @@ add("dy3_jaccard", lambda s, d: dy.jaccard(ad.labels_monthly(s, d)), f"SELECT mo
 add("dr1_targets", lambda s, d: dy.targets(ad.labels_monthly(s, d)), f"SELECT entity, month_idx, CASE WHEN lead(type_id, 3) {_LW} IS NOT NULL THEN CAST(lead(type_id, 1) {_LW} <> type_id OR lead(type_id, 2) {_LW} <> type_id OR lead(type_id, 3) {_LW} <> type_id AS INT) END AS y FROM lb")
 add("cv1_dispersion", lambda s, d: dy.cross_sectional_h(pn.core(ad.panel_wide(s, d)), "val_all"), "SELECT month_idx, round(avg(pow(x - 1, 2)), 6) AS h FROM (SELECT month_idx, val_all / avg(val_all) OVER (PARTITION BY month_idx) x FROM co) GROUP BY 1")
 add("cv5_sigma", lambda s, d: dy.sigma_trend(pn.core(ad.panel_wide(s, d)), "val_all"), "SELECT round(regr_slope(ln(cv), CAST(month_idx AS DOUBLE)), 6) AS slope, round(min_by(cv, month_idx), 6) AS cv_first, round(max_by(cv, month_idx), 6) AS cv_last FROM (SELECT month_idx, stddev_pop(val_all) / avg(val_all) cv FROM co GROUP BY 1)")
-add("cv6_beta", lambda s, d: dy.beta(pn.seasonal(pn.core(ad.panel_wide(s, d))), "log_all"), "SELECT round(regr_slope(d, x0), 6) AS beta, count(*) AS n FROM (SELECT entity, min_by(log_all, month_idx) x0, max_by(log_all, month_idx) - min_by(log_all, month_idx) d FROM se GROUP BY 1)")
+add("cv6_beta", lambda s, d: dy.beta(pn.seasonal(pn.core(ad.panel_wide(s, d))), "log_all"), "SELECT round(regr_slope(d, x0), 6) AS beta, count(*) AS n FROM (SELECT entity, min_by(log_all, month_idx) x0, (max_by(log_all, month_idx) - min_by(log_all, month_idx)) / 23 d FROM se GROUP BY 1)")
 add("in11_kruskal", lambda s, d: dy.kruskal(ad.nodes(s, d).select("account", "region_name"), "account", "region_name"),
     "SELECT round(h, 6) AS h, round((h - k + 1) / (n - k), 6) AS eta2 FROM (SELECT (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (pow(n, 3) - n)) AS h, n, k FROM (SELECT sum(r * r / m) s, count(*) k FROM (SELECT region_name, sum(rk) r, count(*) m FROM (SELECT region_name, rank() OVER (ORDER BY account) + (count(*) OVER (PARTITION BY account) - 1) / 2 AS rk FROM nd) GROUP BY 1)), (SELECT CAST(count(*) AS DOUBLE) n FROM nd), (SELECT sum(pow(t, 3) - t) ties FROM (SELECT count(*) t FROM nd GROUP BY account)))")
 
