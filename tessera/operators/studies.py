@@ -118,8 +118,9 @@ def listed_against_rest(rows: DataFrame, listed: DataFrame, value: str) -> DataF
 
 
 def nmi_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, nmi of every two labellings, with the median, least and greatest of all."""
-    pairs = [gr.agreement(rows, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "nmi") for a, b in combinations(columns, 2)]
+    """a, b, nmi (never below 0, whatever the rounding) of every two labellings, with the median, least
+    and greatest of all."""
+    pairs = [gr.agreement(rows, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(F.col("nmi") <= 0, 0.0).otherwise(F.col("nmi")).alias("nmi")) for a, b in combinations(columns, 2)]
     every = W.partitionBy(F.lit(0))  # a row per two labellings
     return reduce(DataFrame.unionByName, pairs).withColumns({"median": F.median("nmi").over(every), "least": F.min("nmi").over(every), "most": F.max("nmi").over(every)})
 

@@ -288,7 +288,7 @@ def in10_amplitude_check(s, d):
 
 _LABELS = ["type_id", "region_code", "season"]
 _NMI = "WITH c AS (" + ORACLE_SQL["ic12_agreement"].split(", c AS (", 1)[1].replace("lb JOIN nd USING (entity)", "lj")
-_NMIS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, nmi FROM (" + _NMI.replace("type_id a", f"{a} a").replace("region_code b", f"{b} b") + ")" for a, b in combinations(_LABELS, 2))
+_NMIS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN nmi <= 0 THEN 0.0 ELSE nmi END AS nmi FROM (" + _NMI.replace("type_id a", f"{a} a").replace("region_code b", f"{b} b") + ")" for a, b in combinations(_LABELS, 2))
 
 
 @query(f", lj AS (SELECT *, month_idx % 12 // 3 AS season FROM lb JOIN nd USING (entity)), nm AS ({_NMIS}) SELECT a, b, nmi, round(median(nmi) OVER (), 6) AS median, min(nmi) OVER () AS least, max(nmi) OVER () AS most FROM nm")
