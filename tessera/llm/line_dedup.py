@@ -209,7 +209,7 @@ def repeated_lines(lined: DataFrame, least_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["node", "lines"])
 
     pairs = stored(overlaps(lined), "line-pairs")
-    later = pairs.join(lined.select("node", "hashes", "words"), "node")
+    later = pairs.join(lined.select("node", "hashes", "words").hint("merge"), "node")
     firsts = lined.select(F.col("node").alias("first"), F.col("hashes").alias("first_hashes"))
     both = join_spread(later, firsts, "first", F.xxhash64("node"), pairs.groupBy("first").agg(F.count("*").alias("n")))
     found = both.mapInArrow(align, "node long, lines array<int>").select("node", F.explode("lines").alias("line"))
@@ -234,7 +234,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = stored(cut.filter("lines is not null or copies > 1").withColumnsRenamed({"doc_id": "_id", "raw": "_raw"}), "line-blocks")
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("raw"))
-    joined = rows.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_raw")), "left")
+    # Cuts grow with the documents: sorted at every size, never broadcast.
+    joined = rows.join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_raw")), "left")
     if not cut.filter("copies > 1").isEmpty():
         again = joined.filter("copies > 1").groupBy("doc_id", "raw", "t", "lines", "whole").agg(F.count("*").alias("copies"))
         nth = again.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("nth"))
