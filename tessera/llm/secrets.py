@@ -97,7 +97,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ran
     values = F.flatten(F.array(*[F.coalesce(F.col(k), F.array()) for k in KINDS[:2]]))
     random = marked.select(F.explode(F.transform(values, lambda s: s["value"])).alias("token")).filter(F.length("token") >= 16).distinct()
     random = random.orderBy(F.xxhash64("token"), "token").limit(max_random)
-    some = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("_text")).limit(max_texts).select("_text")
+    # Rows are picked by their hashes alone: the texts themselves do not meet in one task.
+    hashes = [F.xxhash64("doc_id").alias("_a"), F.xxhash64("_text").alias("_b")]
+    picked = rows.select(*hashes).orderBy("_a", "_b").limit(max_texts).distinct()
+    some = rows.select("_text", *hashes).join(F.broadcast(picked), ["_a", "_b"], "left_semi").select("_text")
     unmarked = F.regexp_replace("_text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
     ordinary = some.select(F.explode(F.regexp_extract_all(unmarked, F.lit(ORDINARY), F.lit(0))).alias("token")).distinct()
     tables = []
