@@ -28,3 +28,9 @@ def test_block_sums_where_pairs_are_made(series, labels):
     edges = gr.correlations(series, "v").filter("r > 0.2").withColumnRenamed("r", "w")
     want, got = cells(gr.block_sums(edges, labels)), cells(gr.correlated_block_sums(series, "v", labels, 0.2))
     assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_indices_from_block_sums(series, labels):
+    edges = gr.correlations(series, "v").filter("r > 0.2").withColumnRenamed("r", "w")
+    got = gr.block_indices(gr.correlated_block_sums(series, "v", labels, 0.2), labels).first().asDict()
+    assert got == pytest.approx(gr.graph_indices(edges, labels).first().asDict())
