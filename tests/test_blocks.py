@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import graph as gr
 from tessera.operators import leads as ld
 from tessera.operators import measures as ms
+from tessera.operators import panel as pn
 from tessera.sources.adapters import SUFFIXES
 
 
@@ -148,3 +149,16 @@ def test_monthly_weights_with_the_pairs(spark, series):
     rows = lambda df: {(r.i, r.j, r.month_idx): r.w for r in df.collect()}
     want, got = rows(ms.monthly_weights(edges, panel)), rows(ms.correlated_monthly_weights(series, "v", 0.2, panel))
     assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_blend_of_measures_made_together(spark, monkeypatch):
+    monkeypatch.setattr(gr, "BLOCK", 9)
+    x = np.random.default_rng(3).uniform(1, 9, (15, 24, len(SUFFIXES)))
+    rows = [(e, t, *map(float, x[e, t]), float(x[e, t].sum())) for e in range(15) for t in range(24)]
+    panel = spark.createDataFrame(rows, "entity long, month_idx int, " + ", ".join(f"val_{s} double" for s in SUFFIXES) + ", val_all double")
+    frame = ms.blended(panel, 0.25)
+    assert "BroadcastHashJoin [_v" not in frame._jdf.queryExecution().executedPlan().toString()  # values are as many as pairs
+    a, b = cells(ms.aitchison(panel)), cells(gr.correlations(pn.growth(panel), "resid"))
+    rank = lambda m: dict(zip(sorted(m, key=m.get), np.arange(len(m)) / (len(m) - 1), strict=True))
+    ra, rb = rank(a), rank(b)
+    assert cells(frame) == {p: (pytest.approx(0.25 * ra[p] + 0.75 * rb[p]),) for p in a}
