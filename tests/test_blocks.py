@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tessera.operators import cluster as cu
 from tessera.operators import graph as gr
 from tessera.operators import leads as ld
 from tessera.operators import measures as ms
@@ -162,3 +163,22 @@ def test_blend_of_measures_made_together(spark, monkeypatch):
     rank = lambda m: dict(zip(sorted(m, key=m.get), np.arange(len(m)) / (len(m) - 1), strict=True))
     ra, rb = rank(a), rank(b)
     assert cells(frame) == {p: (pytest.approx(0.25 * ra[p] + 0.75 * rb[p]),) for p in a}
+
+
+def test_seeds_share_copies_of_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(gr, "BLOCK", 9)
+    rng = np.random.default_rng(1)
+    i, j = np.triu_indices(30, 1)
+    keep = rng.random(len(i)) < 0.3
+    i, j, w = i[keep], j[keep], rng.uniform(0.2, 1, keep.sum())
+    edges = spark.createDataFrame(list(zip(i.tolist(), j.tolist(), w.tolist(), strict=True)), "i long, j long, w double")
+    runs = cu.by_seed(edges, 6)
+    label = {(r.seed, r.entity): r.label for r in runs.collect()}
+    assert len(label) == 6 * 30
+    for s in range(6):
+        assert [label[s, e] for e in range(30)] == cu.louvain(i, j, w, 30, s).tolist()
+    want = {(a, b): np.mean([label[s, a] == label[s, b] for s in range(6)]) for a in range(30) for b in range(a + 1, 30)}
+    pairs = cu.co_association(runs)
+    got = {(r.i, r.j): r.w for r in pairs.collect()}
+    assert got == pytest.approx({p: x for p, x in want.items() if x})
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()  # no join of entities
