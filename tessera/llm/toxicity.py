@@ -10,11 +10,16 @@ only use of labels other than toxic.
 2. A document is a vector of ``BUCKETS`` hashed words (the largest evidence in each bucket) and of a
    few numbers that sum them up (largest, count and density of strong ones, their sum), from its
    whole text.
-3. A logistic classifier over all of these is trained in numpy on other P and U documents with the
-   non-negative risk  pi R_P(+) + max(0, R_U(-) - pi R_P(-)),  pi being the class prior.
+3. A logistic classifier over all of these is trained on the other P and U documents with the
+   non-negative risk: the least  pi R_P(+) + R_U(-) - pi R_P(-)  of which the part of the negatives,
+   R_U(-) - pi R_P(-), is not below zero, pi being the class prior. If it would be, it counts for the
+   share c < 1 at which it is (nearly) zero. With the logistic loss the risk is convex for any c:
+   Newton steps.
 
-Fitting uses a bounded sample (``max_positive``, ``max_unlabelled`` documents of at most
-``max_chars`` characters). Scoring is one pass over whole texts, without a shuffle.
+Every document and every label is fitted on, with its whole text: half of each of P and U gives the
+evidence, the other half trains. Counts and sums are made in the tasks; the driver gets words that
+P holds often enough, and one array of fixed size from a task. Scoring is one pass over whole texts,
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,14 +27,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tessera.llm.labelled import SLICE, by_text, labels_of, sample, scored, sigmoid, texts_of, words_of
+from tessera.llm._util import give_back, slices, stored
+from tessera.llm.labelled import block, by_text, labels_of, newton, scored, sigmoid, summed, words_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -90,51 +98,107 @@ def document_counts(texts: list[str]) -> Counter:
     return out
 
 
-def evidence(positive: list[str], unlabelled: list[str]) -> dict[str, float]:
-    p = {f: n for f, n in document_counts(positive).items() if n >= LEAST_DOCS}
-    u: Counter = Counter()
-    for t in unlabelled:
-        u.update({f for w in set(t.split()) for f in features(w)} & p.keys())
+def numbered_counts(text: pa.Array, number: dict[str, int]) -> np.ndarray:
+    """Texts with each of the numbered features."""
+    words, at, bounds = words_of(text)
+    held = [[number[f] for f in features(w) if f in number] for w in words.to_pylist()]
+    size = np.array([len(x) for x in held], np.int64)
+    flat, start = np.array([n for x in held for n in x], np.int64), np.cumsum(size) - size
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    doc, word = np.divmod(np.unique(of * max(len(words), 1) + at), max(len(words), 1))
+    many = size[word]
+    place = np.repeat(start[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    pair = np.unique(np.repeat(doc, many) * max(len(number), 1) + flat[place])
+    return np.bincount(pair % max(len(number), 1), minlength=len(number))
+
+
+def evidence(p: dict[str, int], positive: int, u: dict[str, int], unlabelled: int) -> dict[str, float]:
+    """From documents with each feature and documents in all."""
     out = {}
     for f, n in p.items():
-        ratio = np.log((n + 0.5) / (len(positive) + 1)) - np.log((u[f] + 0.5) / (len(unlabelled) + 1))
-        sure = ratio - CAUTION * np.sqrt(1 / (n + 0.5) + 1 / (u[f] + 0.5))
+        ratio = np.log((n + 0.5) / (positive + 1)) - np.log((u.get(f, 0) + 0.5) / (unlabelled + 1))
+        sure = ratio - CAUTION * np.sqrt(1 / (n + 0.5) + 1 / (u.get(f, 0) + 0.5))
         if sure > 0.1:
             out[f] = float(sure)
     return out
 
 
-def train_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05, l2: float | np.ndarray = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear classifier; Adam on the non-negative risk with the
-    logistic loss. Where the negative part turns below zero only that part is stepped back."""
-    k = xp.shape[1]
-    w = np.zeros(k + 1)
-    xp, xu = (np.hstack([x, np.ones((len(x), 1))]) for x in (xp, xu))
-    m, v = np.zeros(k + 1), np.zeros(k + 1)
-    for i in range(1, steps + 1):
-        gp, gu = xp @ w, xu @ w
-        rising_p, rising_u = sigmoid(gp), sigmoid(gu)
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        slope_negative = xu.T @ rising_u / len(xu) - prior * (xp.T @ rising_p) / len(xp)
-        slope_positive = prior * (xp.T @ (rising_p - 1)) / len(xp)
-        g = slope_positive + slope_negative if negative >= 0 else -slope_negative
-        g = g + np.append(l2 * w[:-1], 0)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
-    return w[:-1], float(w[-1])
+RIDGE = np.append(np.repeat([1e-4, 0.03], [SUMMARIES, BUCKETS]), 0.0)
+WIDTH = SUMMARIES + BUCKETS + 1
+#: The part of the negatives at which its share is not sought further.
+NEARLY = 0.005
+
+
+def moments(x: np.ndarray) -> np.ndarray:
+    """Rows, rows of P, sums and sums of squares. The last column of a block is 1 for P, 0 for U."""
+    return np.concatenate([[len(x), x[:, -1].sum()], x[:, :-1].sum(axis=0), (x[:, :-1] ** 2).sum(axis=0)])
+
+
+def risks(x: np.ndarray, w: np.ndarray, c: float, model: ToxicityModel) -> np.ndarray:
+    """Of a block: loss of U as negatives, of P as positives and as negatives; slope and curvature over
+    U, and over P with the part of the negatives for ``c``."""
+    z = np.hstack([(x[:, :-1] - model.mean) / model.scale, np.ones((len(x), 1))])
+    p, u = z[x[:, -1] == 1], z[x[:, -1] == 0]
+    gp, gu = p @ w, u @ w
+    sp, su = sigmoid(gp), sigmoid(gu)
+    slopes = [u.T @ su, p.T @ ((1 - c) * sp - 1)]
+    curves = [((v * (s * (1 - s))[:, None]).T @ v)[np.triu_indices(WIDTH)] for v, s in ((u, su), (p, sp))]
+    return np.concatenate([[np.logaddexp(0, gu).sum(), np.logaddexp(0, -gp).sum(), np.logaddexp(0, gp).sum()], *slopes, *curves])
+
+
+def non_negative(total: Callable[[Callable], np.ndarray | None], model: ToxicityModel, positive: float, unlabelled: float, prior: float) -> np.ndarray:
+    w, least = np.zeros(WIDTH), 0.0
+
+    def at(w: np.ndarray) -> tuple:
+        nonlocal least
+        r = total(lambda x: risks(x, w, c, model))
+        least = r[0] / unlabelled - prior * r[2] / positive
+        cu, cp = np.split(r[3 + 2 * WIDTH :], 2)
+        curve = np.zeros((WIDTH, WIDTH))
+        curve[np.triu_indices(WIDTH)] = c * cu / unlabelled + prior * (1 - c) * cp / positive
+        curve = curve + np.triu(curve, 1).T + np.diag(RIDGE + 1e-9)
+        slope = c * r[3 : 3 + WIDTH] / unlabelled + prior * r[3 + WIDTH : 3 + 2 * WIDTH] / positive + RIDGE * w
+        return prior * r[1] / positive + c * least + (RIDGE * w) @ w / 2, slope, curve
+
+    c, low, high = 1.0, 0.0, 1.0
+    w = newton(at, w)
+    if least >= 0:
+        return w
+    kept, c = np.zeros(WIDTH), 0.1
+    for _ in range(12):
+        w = newton(at, w)
+        if least >= 0:
+            kept, low = w, c
+            if least < NEARLY:
+                break
+        else:
+            high = c
+        c = np.sqrt(low * high) if low else high / 2
+    return kept
+
+
+def train(model: ToxicityModel, total: Callable[[Callable], np.ndarray | None], prior: float) -> ToxicityModel:
+    """Scales and weights of ``model``; ``total`` sums a function over all blocks."""
+    got = total(moments)
+    if got is None or not 0 < got[1] < got[0]:
+        return ToxicityModel()
+    n, k = got[0], WIDTH - 1
+    mean = got[2 : 2 + k] / n
+    model.mean, model.scale = np.round(mean, 9), np.round(np.maximum(np.sqrt(np.maximum(got[2 + k :] / n - mean**2, 0)), 0.05), 9)
+    w = np.round(non_negative(total, model, got[1], n - got[1], prior), 6)
+    model.weights, model.bias = w[:-1], float(w[-1])
+    return model
 
 
 def fit_texts(positive: list[str], unlabelled: list[str], prior: float) -> ToxicityModel:
-    """Every other document of each list gives the evidence, the rest trains the classifier."""
+    """``fit`` of texts at hand. Every other document of each list gives the evidence, the rest trains
+    the classifier."""
     if len(positive) < 2 or len(unlabelled) < 2:
         return ToxicityModel()
-    model = ToxicityModel(evidence=evidence(positive[::2], unlabelled[::2]))
-    xp, xu = (np.vstack([model.vectors(pa.array(t[k : k + SLICE : 2], pa.string())) for k in range(1, len(t), SLICE)]) for t in (positive, unlabelled))
-    both = np.vstack([xp, xu])
-    model.mean, model.scale = both.mean(axis=0), np.maximum(both.std(axis=0), 0.05)
-    ridge = np.repeat([1e-4, 0.03], [SUMMARIES, BUCKETS])
-    model.weights, model.bias = train_nnpu((xp - model.mean) / model.scale, (xu - model.mean) / model.scale, prior, l2=ridge)
-    return model
+    p = {f: n for f, n in document_counts(positive[::2]).items() if n >= LEAST_DOCS}
+    model = ToxicityModel(evidence=evidence(p, len(positive[::2]), document_counts(unlabelled[::2]), len(unlabelled[::2])))
+    rows = [np.pad(model.vectors(pa.array(t[1::2], pa.string())), ((0, 0), (0, 1)), constant_values=y) for t, y in ((positive, 1.0), (unlabelled, 0.0))]
+    return train(model, lambda f: f(np.vstack(rows)), prior)
 
 
 def fit(
@@ -144,9 +208,6 @@ def fit(
     label: str = "toxic",
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_positive: int = 3000,
-    max_unlabelled: int = 9000,
-    max_chars: int = 50_000,
     prior: float | None = None,
 ) -> ToxicityModel:
     """A model from the rows for which ``usable`` (over the id) holds.
@@ -155,19 +216,63 @@ def fit(
     labels. Null or conflicting labels and rows without an id are left out, null texts count as
     empty, repeated rows as several documents. Without positive labels or documents every score is
     0 (the model's bias). Other columns are not read.
+
+    The ids of toxic documents are dealt to the two halves in turn, other rows by a hash of the text;
+    these ids, eight bytes each, are broadcast.
     """
     known = labels_of(labels, label, usable, id_col)
-    share = prior if prior is not None else known.agg(F.avg("y")).first()[0]
-    if not share:
+    share, toxic = known.agg(F.avg("y"), F.sum("y")).first()
+    prior = prior if prior is not None else share
+    if not prior or not toxic:
+        return ToxicityModel()
+    turn = W.partitionBy(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, toxic // 1000)))).orderBy("doc_id")
+    p = known.filter("y = 1").select("doc_id", (F.row_number().over(turn) % 2 == 1).alias("p"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.filter(usable & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.join(F.broadcast(p), "doc_id", "left").select("text", "p", (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("u"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = Counter(), 0
+        for b in batches:
+            held.update(document_counts(b.column(0).to_pylist()))
+            n += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([*held, None], pa.string()), pa.array([*held.values(), n], pa.int64())], ["f", "n"])
+
+    often = rows.filter("p").select("text").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("f").isNull() | (F.col("n") >= LEAST_DOCS)).toArrow()
+    p_of = dict(zip(often["f"].to_pylist(), often["n"].to_pylist(), strict=True))
+    positive = p_of.pop(None, 0)
+    names = sorted(p_of)
+    number = {f: k for k, f in enumerate(names)}
+
+    def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(number), np.int64), 0
+        for b in batches:
+            for part in slices(b, 0):
+                total += numbered_counts(part.column(0), number)
+                n += part.num_rows
+            give_back()
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), pa.array(np.append(total[full], n))], ["f", "n"])
+
+    again = rows.filter("u").select("text").mapInArrow(recount, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    u_of = dict(zip(again["f"].to_pylist(), again["n"].to_pylist(), strict=True))
+    unlabelled = u_of.pop(-1, 0)
+    if not positive or not unlabelled:
         return ToxicityModel()
-    p = sample(known.filter("y = 1").select("doc_id"), max_positive, 1)
-    u = sample(docs.filter(usable & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")), max_unlabelled, 2)
+    model = ToxicityModel(evidence=evidence(p_of, positive, {names[k]: n for k, n in u_of.items()}, unlabelled))
 
-    def fetched(picked: DataFrame) -> list[str]:
-        rows = texts_of(docs, picked.distinct(), id_col, text_col, max_chars).orderBy("doc_id", "text")
-        return rows.select("text").toArrow()["text"].to_pylist()
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, 0):
+                x = model.vectors(part.column(0))
+                p, u = (part.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+                x = np.vstack([np.pad(x[own], ((0, 0), (0, 1)), constant_values=y) for own, y in ((p, 1.0), (u, 0.0))])
+                yield pa.RecordBatch.from_arrays([pa.array([block(x)], pa.binary())], ["x"])
+            give_back()
 
-    return fit_texts(fetched(p), fetched(u), share)
+    rest = rows.select("text", F.coalesce(~F.col("p"), F.lit(False)).alias("p"), (~F.col("u")).alias("u")).filter("p or u")
+    blocks = stored(rest.mapInArrow(vectors, "x binary"), "toxicity-vectors")
+    return train(model, lambda f: summed(blocks, WIDTH, f), prior)
 
 
 def toxicity(text: Column, model: ToxicityModel) -> Column:
