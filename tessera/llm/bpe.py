@@ -14,7 +14,8 @@
    that Spark's hash deals out one to each partition.
 4. Decoding joins ids to the tokenizer's id-to-piece table by position. Its size is that of the
    vocabulary, whatever the corpus, so it is a map-side join: each task takes the pieces of its ids
-   from the whole table.
+   from the whole table. ``round_trip`` decodes where the ids are put together, in the same Python
+   worker: two workers a core would hold a chunk each.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,15 @@ def pieces(path: str) -> pa.BinaryArray:
     return pa.array(out, pa.binary())
 
 
+@lru_cache(maxsize=1)
+def _held_pieces(path: str) -> pa.BinaryArray:
+    """``pieces``, kept by a worker: as long as the vocabulary."""
+    return pieces(path)
+
+
+_DECODED = pa.schema({"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary(), "decoded": pa.string()})
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Byte planes of unsigned 32-bit numbers, compressed."""
     return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
@@ -242,13 +253,31 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     scan of files or of a checkpoint. An empty table gives an
     empty result; other columns are not read.
     """
+    return _encoded(docs, path, id_col, text_col, chunk_words, _rebuild, "doc_id long, n_tokens long, ids binary")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 1_500_000) -> DataFrame:
+    """The rows of ``decode(encode(docs, path), path)``."""
+
+    def run(codes: pa.Table, chunk: pa.Table) -> pa.Table:
+        out, table = [], _held_pieces(path)
+        for b in _rebuild(codes, chunk).combine_chunks().to_batches():
+            for part in slices(b, 2, 16 << 20, 1000):
+                out.append(pa.RecordBatch.from_arrays([*part.columns, decode_array(part.column(2), table)], ["doc_id", "n_tokens", "ids", "decoded"]))
+        give_back()
+        return pa.Table.from_batches(out, _DECODED)
+
+    return _encoded(docs, path, id_col, text_col, chunk_words, run, "doc_id long, n_tokens long, ids binary, decoded string")
+
+
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, chunk_words: int, rebuild: Callable, schema: str) -> DataFrame:
     text, spark = text_or_empty(text_col), docs.sparkSession
     numbers = bucket_parts(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = F.when(F.contains(text, F.lit("\x00")), F.array(text)).otherwise(F.split(F.replace(text, F.lit(" "), F.lit("\x00 ")), "\x00"))
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
     parts = split.mapInArrow(_chunked(chunk_words, numbers), PARTS).repartition("part")
     coded = parts.sortWithinPartitions("part").mapInArrow(_encoder(path, numbers), "chunk long, bucket int, codes binary")
-    return coded.groupBy("chunk").cogroup(parts.groupBy("part")).applyInArrow(_rebuild, "doc_id long, n_tokens long, ids binary")
+    return coded.groupBy("chunk").cogroup(parts.groupBy("part")).applyInArrow(rebuild, schema)
 
 
 def decode_array(codes: pa.Array, table: pa.BinaryArray) -> pa.Array:
