@@ -17,7 +17,8 @@ Files below ``path``: ``chunks`` (digest, n, ids as zstd-compressed little-endia
 16-bit numbers), ``recipes`` (start, doc_id, n_tokens, root, digests, part, nth), ``manifest``
 (part, run, first, documents, ids, root; run -1 is a whole part, part -1 the whole store).
 
-Encoding goes word by word: a worker encodes each distinct word once and keeps it.
+Encoding goes word by word: a worker encodes each distinct word once and keeps it, as long as it holds
+few enough.
 """
 
 from __future__ import annotations
@@ -44,9 +45,10 @@ END = 2
 RUN = 1 << 16
 LEAST, MOST, MASK = 256, 8192, np.uint64((1 << 10) - 1)
 _GEAR = np.random.default_rng(1).integers(0, 2**63, 1 << 16, dtype=np.int64).astype(np.uint64)
-#: Words kept by a worker before it starts afresh.
-_KEPT = 500_000
-_kept: dict[str, bytes] = {}
+#: Words and bytes kept by a worker before it starts afresh.
+_KEPT, _KEPT_BYTES = 1_500_000, 96 << 20
+#: For each tokenizer the words met and their ids.
+_kept: dict[str, tuple[pa.StringArray, pa.BinaryArray]] = {}
 
 
 @lru_cache(maxsize=2)
@@ -60,20 +62,24 @@ def tokenizer(path: str):
     return t
 
 
+#: ASCII punctuation that follows one of these letters begins a pre-token.
+_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-/:-@\[-`{-~]"
+
+
 def _cut_words(text: pa.Array) -> pa.Array:
     """Lists of pieces whose ids, joined, are the text's ids.
 
     The tokenizer lower-cases and drops white space, so spaces are cuts and ASCII letters can
-    be lowered first; a full stop or comma after a letter begins a pre-token. Lowering could
-    turn a text's letters into a special token, so texts with "<|" keep their case.
+    be lowered first; ASCII punctuation after a letter begins a pre-token. Lowering or cutting
+    could make or break a special token, so texts with "<|" are cut at spaces alone and keep their case.
     """
     plain = pc.replace_substring(text, "\n", " ")
-    plain = pc.if_else(pc.match_substring(plain, "<|"), plain, pc.ascii_lower(plain))
-    return pc.split_pattern(pc.replace_substring_regex(plain, r"([a-z])([.,])", r"\1 \2"), " ")
+    cut = pc.replace_substring_regex(pc.ascii_lower(plain), f"({_LETTER})({_MARK})", r"\1 \2")
+    return pc.split_pattern(pc.if_else(pc.match_substring(plain, "<|"), plain, cut), " ")
 
 
 #: Words of these letters alone are one pre-token, whose last id, and no other, ends a word.
-_PLAIN = "^[a-zà-öø-ÿ]+$"
+_PLAIN = f"^{_LETTER}+$"
 
 
 class StoreError(ValueError):
@@ -87,26 +93,56 @@ def _word_ends(path: str) -> np.ndarray:
     return out
 
 
-def _learn(words: list[str], path: str) -> None:
-    """Encode words that are not kept yet; plain ones many at a time, as one text."""
+def _binary(ends: np.ndarray, ids: np.ndarray) -> pa.BinaryArray:
+    """Ids between bounds, as packed bytes."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, "<u2"))])
+
+
+def _learn(words: pa.StringArray, path: str) -> pa.BinaryArray:
+    """Packed ids of words; plain words are encoded many at a time, as one text."""
     t, ends = tokenizer(path), _word_ends(path)
-    every = pa.array(words, pa.string())
-    is_plain = pc.match_substring_regex(every, _PLAIN)
-    plain, alone = every.filter(is_plain).to_pylist(), every.filter(pc.invert(is_plain)).to_pylist()
+    is_plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+    plain, alone = np.flatnonzero(is_plain), [np.flatnonzero(~is_plain)]
+    order, made = [], []
     for k in range(0, len(plain), 8192):
         part = plain[k : k + 8192]
-        ids = np.array(t.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
-        stops = 2 * (np.flatnonzero(ends[ids]) + 1)
-        if len(stops) != len(part):
-            alone += part
-            continue
-        raw, at = ids.tobytes(), 0
-        for w, stop in zip(part, stops.tolist(), strict=True):
-            _kept[w], at = raw[at:stop], stop
-    for k in range(0, len(alone), 1024):
-        part = alone[k : k + 1024]
-        for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            _kept[w] = np.array(e.ids, "<u2").tobytes()
+        texts = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), words.take(pa.array(part)))
+        ids = np.array(t.encode_batch_fast(pc.binary_join(texts, " ").to_pylist(), add_special_tokens=False)[0].ids, "<u2")
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) == len(part) and stops[-1] == len(ids):
+            order.append(part)
+            made.append(_binary(np.append(0, stops), ids))
+        else:
+            alone.append(part)
+    rest = np.concatenate(alone)
+    for k in range(0, len(rest), 1024):
+        part = rest[k : k + 1024]
+        got = [e.ids for e in t.encode_batch_fast(words.take(pa.array(part)).to_pylist(), add_special_tokens=False)]
+        order.append(part)
+        made.append(_binary(np.cumsum([0, *map(len, got)]), np.array([i for x in got for i in x], "<u2")))
+    if not order:
+        return pa.array([], pa.binary())
+    order = np.concatenate(order)
+    where = np.empty(len(order), np.int64)
+    where[order] = np.arange(len(order))
+    return pa.concat_arrays(made).take(pa.array(where))
+
+
+def _codes(words: pa.StringArray, path: str) -> pa.BinaryArray:
+    """Packed ids of distinct words, from those kept or newly encoded."""
+    held, codes = _kept.get(path) or (pa.array([], pa.string()), pa.array([], pa.binary()))
+    at = pc.index_in(words, value_set=held)
+    new = words.filter(at.is_null())
+    if len(new):
+        at = at.to_numpy(zero_copy_only=False)
+        at = pa.array(np.where(np.isnan(at), len(held) + np.cumsum(np.isnan(at)) - 1, at).astype(np.int64))
+        held, codes = pa.concat_arrays([held, new]), pa.concat_arrays([codes, _learn(new, path)])
+    out = codes.take(at)
+    if len(held) > _KEPT or held.nbytes + codes.nbytes > _KEPT_BYTES:
+        _kept.pop(path, None)
+    else:
+        _kept[path] = held, codes
+    return out
 
 
 def encode_array(text: pa.Array, path: str, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
@@ -114,17 +150,13 @@ def encode_array(text: pa.Array, path: str, end: int | None = END) -> tuple[np.n
     lists = _cut_words(text)
     ends = lists.offsets.to_numpy()
     coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    if len(_kept) > _KEPT:
-        _kept.clear()
-    _learn([w for w in words if w not in _kept], path)
-    codes = [_kept[w] for w in words]
+    codes = _codes(coded.dictionary, path)
     at, ends = coded.indices.to_numpy(zero_copy_only=False), ends - ends[0]
     if end is not None:
         at = np.insert(at, ends[1:], len(codes))
-        codes.append(np.array([end], "<u2").tobytes())
+        codes = pa.concat_arrays([codes, pa.array([np.array([end], "<u2").tobytes()], pa.binary())])
         ends = ends + np.arange(len(ends))
-    got = pa.array(codes, pa.binary()).take(pa.array(at))
+    got = codes.take(pa.array(at))
     if not len(got):
         return np.zeros(0, "<u2"), np.zeros(len(ends), np.int64)
     bounds = np.frombuffer(got.buffers()[1], np.int32)[: len(got) + 1]
@@ -266,8 +298,14 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("digest binary, n long, ids binary").parquet(f"{path}/chunks")
 
 
+@lru_cache(maxsize=1)
+def _unpacker():
+    """A worker's decompressor; one for each chunk costs more than the chunk."""
+    return zstandard.ZstdDecompressor()
+
+
 def _checked_ids(digest: bytes, blob: bytes) -> np.ndarray:
-    raw = zstandard.decompress(blob)
+    raw = _unpacker().decompress(blob)
     if hashlib.sha256(raw).digest() != digest:
         raise StoreError(f"chunk {digest.hex()} does not hold the ids it is named by")
     return np.frombuffer(raw, "<u2")
@@ -329,12 +367,15 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 
     def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            crcs = []
-            for r in b.to_pylist():
-                held = sorted(r["held"], key=lambda c: c["pos"])
-                if _root([c["digest"] for c in held]) != r["root"] or sum(c["n"] for c in held) != r["n_tokens"]:
-                    raise StoreError(f"document {r['doc_id']} at {r['start']} is not what its recipe says")
-                crcs.append(crc32_joined([(c["crc"], 4 * c["n"]) for c in held]))
+            at = b.column("held").offsets.to_numpy()
+            pos, digest, crc, n = (x.to_numpy(zero_copy_only=False) for x in b.column("held").values.slice(at[0], at[-1] - at[0]).flatten())
+            order = np.lexsort((pos, np.repeat(np.arange(b.num_rows), np.diff(at))))
+            digest, sizes, crc, at = digest[order].tolist(), n[order].tolist(), crc[order].tolist(), (at - at[0]).tolist()
+            roots, lengths, crcs = b.column("root").to_pylist(), b.column("n_tokens").to_pylist(), []
+            for k, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                if _root(digest[x:y]) != roots[k] or sum(sizes[x:y]) != lengths[k]:
+                    raise StoreError(f"document {b.column('doc_id')[k]} at {b.column('start')[k]} is not what its recipe says")
+                crcs.append(crc32_joined([(c, 4 * i) for c, i in zip(crc[x:y], sizes[x:y], strict=True)]))
             yield pa.RecordBatch.from_arrays([b.column("start"), b.column("doc_id"), b.column("n_tokens"), pa.array(crcs, pa.int64())], ["start", "doc_id", "n_tokens", "ids_crc32"])
 
     sums = _chunks(spark, path).select("digest", "ids").mapInArrow(of_chunks, "digest binary, crc long, n long")

@@ -351,6 +351,38 @@ def broken_stores_are_noticed(spark, store):
     return True
 
 
+def test_store_encodes_words_once(monkeypatch):
+    """A word is encoded once, whatever marks follow it, and is known apart for each tokenizer."""
+    p, q, given = path("word_bpe_49k.json"), path("byte_bpe_50k.json"), []
+    t = token_store.tokenizer(p)
+
+    class Told:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(w for x in texts for w in x.split(" "))
+            return t.encode_batch_fast(texts, **options)
+
+        def __getattr__(self, name):
+            return getattr(t, name)
+
+    monkeypatch.setattr(token_store, "tokenizer", lambda _: Told())
+    monkeypatch.setattr(token_store, "_kept", {})
+    token_store.encode_array(pa.array(["wort wort!! wort$$$ Wort'' WORT) émeute émeute***", "émeute&&& wort!!"]), p)
+    assert sorted(given) == sorted(["wort", "!!", "$$$", "''", ")", "émeute", "***", "&&&"])
+    given.clear()
+    many = [f"{a}{b}{c}{d}" for a in "abcdefghijklmnop" for b in "bcdfghjklmnpqrst" for c in "aeiouyäöüßéèêëáà" for d in "bcdfghjklmnpqrst"]
+    token_store.encode_array(pa.array([" ".join(many)]), p)
+    token_store.encode_array(pa.array([" ".join(many)]), p)
+    assert len(given) == len(many)
+    odd = "Wort's wort'' (wort wort.wort it's 3.wort wort\u0301! ªb! ß? l'eau|x É! É\u0301. a\u0338> a>\u0338 q\tq! İ? <|endoftext|>wort!"
+    texts = [odd, "", odd.replace("<|", "< |"), "wort<|endoftext|>wort", "wort!<|endoftext|", "a" + "!" * 300]
+    got, _ = token_store.encode_array(pa.array(texts), p)
+    assert got.tolist() == [i for x in texts for i in [*t.encode(x, add_special_tokens=False).ids, 2]]
+    monkeypatch.undo()
+    for name in (p, q):
+        ids, _ = token_store.encode_array(pa.array(["zwiefach"]), name, None)
+        assert ids.tolist() == token_store.tokenizer(name).encode("zwiefach", add_special_tokens=False).ids
+
+
 def test_joined_crc():
     parts = [b"abc", b"", b"defgh" * 100]
     assert token_store.crc32_joined([(zlib.crc32(x), len(x)) for x in parts]) == zlib.crc32(b"".join(parts))
