@@ -46,7 +46,7 @@ RUN = 1 << 16
 LEAST, MOST, MASK = 256, 8192, np.uint64((1 << 10) - 1)
 _GEAR = np.random.default_rng(1).integers(0, 2**63, 1 << 16, dtype=np.int64).astype(np.uint64)
 #: Words and bytes kept by a worker before it starts afresh.
-_KEPT, _KEPT_BYTES = 1_500_000, 96 << 20
+_KEPT, _KEPT_BYTES = 1_000_000, 64 << 20
 #: For each tokenizer the words met and their ids.
 _kept: dict[str, tuple[pa.StringArray, pa.BinaryArray]] = {}
 
