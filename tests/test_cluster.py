@@ -4,6 +4,7 @@ import numpy as np
 
 from tessera.operators import cluster as cu
 from tessera.operators import dynamics as dy
+from tessera.operators import graph as gr
 from tessera.operators import ranks
 
 
@@ -44,3 +45,14 @@ def test_assignment_equals_brute_force():
         got = sum(c[a, b] for a, b in cu.assignment(c))
         t = c if n <= m else c.T
         assert np.isclose(got, min(sum(t[k, p[k]] for k in range(len(t))) for p in permutations(range(t.shape[1]), len(t))))
+
+
+def test_louvain_on_correlations_not_stored(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 12)) + 0.8 * rng.normal(size=(4, 12))[np.arange(40) % 4]
+    x[5] = 1.0  # constant: no edge
+    series = spark.createDataFrame([(e, t, float(v)) for e, row in enumerate(x) for t, v in enumerate(row)], "entity long, month_idx int, v double")
+    rows = lambda df: {(r.seed, r.entity): r.label for r in df.collect()}
+    want = rows(cu.by_seed(gr.correlations(series, "v", 0.2).withColumnRenamed("r", "w"), 6))
+    monkeypatch.setattr(gr, "in_blocks", None)  # no table of edges
+    assert rows(cu.by_seed_correlated(series, "v", 0.2, 6)) == want and len(want) == 6 * 39
